@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweir.llm.bloom import Bloom
 from codeweir.llm.common import checked_broadcast, mix, row_slices, shingle_sets, table, text_buffers, word_hashes, written
 from codeweir.llm.components import components
 from codeweir.llm.signature_tree import SignatureTree, bitmap, folded, width
@@ -152,6 +153,7 @@ def first_round(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     need = dealt.select("cid", "at", "anchor", F.explode(where).alias("block"))
     need = written(need.groupBy("cid").agg(F.collect_list(F.struct("at", "anchor", "block")).alias("blocks")), "join-blocks")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = Bloom(need, "cid").filtered(texts, F.col("id"))
     rows = texts.join(checked_broadcast(need, MAX_BROADCAST // 10), F.col("id") == F.col("cid"))
     rows = rows.select("cid", "text", F.explode("blocks").alias("b")).select("cid", "text", "b.*")
 
@@ -225,7 +227,18 @@ def second_round(docs: DataFrame, classes: DataFrame, comps: DataFrame, id_col:
     joining = written(joining.select(F.col("tok").alias("j_tok"), "m"), "join-tokens")
     n = joining.agg(F.sum("m")).first()[0] or 0
     groups = max(1, -(-n // GROUP_ENTRIES))
-    kept = entries.select("tok", "cid").join(checked_broadcast(joining, MAX_BROADCAST), F.col("tok") == F.col("j_tok"))
+    bloom = Bloom(joining, "j_tok")
+
+    def shared(batches):
+        for b in batches:
+            lists = b.column("rare")
+            values, offs = lists.flatten(), lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+            keep = np.flatnonzero(bloom.has(values.to_numpy()))
+            rows = np.searchsorted(offs, keep, "right") - 1
+            yield pa.RecordBatch.from_arrays([values.take(pa.array(keep)), b.column("cid").take(pa.array(rows))], names=["tok", "cid"])
+
+    some = pre.select("cid", "rare").mapInArrow(shared, "tok long, cid long")
+    kept = some.join(checked_broadcast(joining, MAX_BROADCAST), F.col("tok") == F.col("j_tok"))
     # A frequent token's entries are dealt into chunks, and each pair of chunks is a block.
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
@@ -249,7 +262,9 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: i
     texts meet, and the sets are compared. If an id repeats, any of its texts may link."""
     side = pairs.select(F.col("a").alias("end"), "a", "b").union(pairs.select(F.col("b").alias("end"), "a", "b"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(checked_broadcast(written(side, "join-sides"), MAX_BROADCAST // 4), F.col("id") == F.col("end")).select("a", "b", "id", "text")
+    side = written(side, "join-sides")
+    texts = Bloom(side, "end").filtered(texts, F.col("id"))
+    rows = texts.join(checked_broadcast(side, MAX_BROADCAST // 4), F.col("id") == F.col("end")).select("a", "b", "id", "text")
 
     def run(batches):
         at, seen, out = None, {}, []
