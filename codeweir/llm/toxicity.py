@@ -87,7 +87,7 @@ def fit(cols: np.ndarray, offs: np.ndarray, extras: np.ndarray, y: np.ndarray, s
     equally."""
     n, rows = len(y), np.repeat(np.arange(len(y)), np.diff(offs))
     if not n or y.all() or not y.any():
-        return Linear(np.zeros(DIM, np.float32), np.zeros(extras.shape[1]), 0.0 if not n else 4.0 if y.all() else -4.0)
+        return Linear(np.zeros(DIM, np.float32), np.zeros(extras.shape[1]), 4.0 if n and y.all() else -4.0)
     pos, neg = y.sum(), n - y.sum()
     p = np.bincount(cols, y[rows], DIM)
     q = np.bincount(cols, minlength=DIM) - p
