@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from codeweir.llm import chat, exact_dedup, lm_scoring, mixing, neighbours, ngram_join, packing, secrets, token_counts, toxicity
+from codeweir.llm import chat, exact_dedup, lm_scoring, mixing, neighbours, ngram_join, packing, secrets, span_sql, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -25,6 +25,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": ngram_join.SQL,
+        "op2_secret_scan": span_sql.secret_sql(),
+        "op3_chat_format": span_sql.chat_sql(),
         "op7_exact_dedup": exact_dedup.SQL,
         "op8_neighbours": neighbours.SQL,
         "op10_lm_scores": lm_scoring.SQL,
