@@ -94,7 +94,8 @@ def dead_chains(files: DataFrame, findings: DataFrame, min_confidence: str = "me
     kept = groups.where((F.size("files") > 1) | F.col("has_dead"))
     names = findings.where((F.col("category") == "dependencies") & F.col("title").rlike("(?i)unused dependency"))
     names = names.groupBy(F.split("message", " ")[0].alias("name")).agg(F.min("ord").alias("o")).withColumn("base", basename(F.col("name"))).where("base <> ''")
-    # A file contains a basename if one of its substrings of that length is the basename.
+    # A file contains a basename if one of its substrings of that length is the basename. There
+    # are no more lengths than a name may have characters.
     sizes = names.select(F.length("base").alias("len")).distinct()
     parts = kept.select("component", F.explode("files").alias("path")).join(F.broadcast(sizes), F.length("path") >= F.col("len"))
     grams = parts.select("component", F.explode(F.transform(F.sequence(F.lit(1), F.length("path") - F.col("len") + 1), lambda i: F.substring(F.col("path"), i, F.col("len")))).alias("gram")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeweir.functions.text import squeeze, to_fixed, trim
 
@@ -198,12 +199,11 @@ def fix_next(findings: DataFrame) -> DataFrame:
 
 
 def top_findings(findings: DataFrame) -> DataFrame:
-    """The first five blockers, or, where there are none, the first five findings. Both are
-    top-k sorts; the test for blockers joins one row."""
-    first_blockers = top(findings.where(is_blocker()), 5)
-    some = first_blockers.limit(1).select(F.lit(True).alias("__some"))
-    others = top(findings, 5).join(F.broadcast(some), F.lit(True), "left_anti")
-    return first_blockers.unionByName(others).orderBy(*order()).limit(5)
+    """The first five blockers, or, where there are none, the first five findings: one top-k
+    sort with blockers first; the rest is decided on its five rows."""
+    first = findings.orderBy(is_blocker().desc(), *order()).limit(5)
+    some = F.max(is_blocker()).over(Window.partitionBy(F.lit(0)))
+    return first.withColumn("__some", some).where(is_blocker() | ~F.col("__some")).drop("__some").orderBy(*order())
 
 
 def in_categories(findings: DataFrame, categories: list[str]) -> DataFrame:
@@ -226,8 +226,9 @@ def parse_categories(value: str | None) -> list[str] | None:
 
 def related(findings: DataFrame, finding_id: str) -> DataFrame:
     """Findings of another id in the file (or lack of one) or category of the first finding
-    of this id."""
-    one = findings.where(F.col("id") == finding_id).orderBy("ord").limit(1)
-    one = one.select(F.col("file").alias("o_file"), F.col("category").alias("o_category"))
-    others = findings.where(F.col("id") != finding_id)
-    return others.join(F.broadcast(one), F.col("file").eqNullSafe(F.col("o_file")) | (F.col("category") == F.col("o_category")), "left_semi")
+    of this id. That one row is looked up first; the rest is a filter."""
+    one = findings.where(F.col("id") == finding_id).orderBy("ord").select("file", "category").limit(1).collect()
+    if not one:
+        return findings.where("false")
+    file, category = one[0]
+    return findings.where((F.col("id") != finding_id) & (F.col("file").eqNullSafe(F.lit(file)) | (F.col("category") == category)))
