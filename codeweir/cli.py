@@ -28,9 +28,13 @@ def session() -> SparkSession:
 
 
 def raw_outputs(spark: SparkSession, root: str) -> DataFrame:
-    """Outputs that a landing folder holds as JSON lines; none without it."""
-    folder = os.path.join(root, HOME, "raw")
-    return spark.read.schema(tools.RAW).json(folder) if os.path.isdir(folder) else empty_raw(spark)
+    """Outputs that a landing folder holds as JSON lines; none without it. A coverage summary
+    that the project has goes before the outputs of its test runners."""
+    folder, summary = os.path.join(root, HOME, "raw"), os.path.join(root, "coverage", "coverage-summary.json")
+    raw = spark.read.schema(tools.RAW).json(folder) if os.path.isdir(folder) else empty_raw(spark)
+    if not os.path.exists(summary):
+        return raw
+    return tools.with_existing_coverage(raw, spark.read.text(summary, wholetext=True))
 
 
 def scanned(spark: SparkSession, root: str, mode: str = "default", only_changed: bool = False) -> tuple[ScanResult, object]:

@@ -87,3 +87,40 @@ def test_stream_of_landed_outputs(spark, tmp_path):
     fixed.raw_outputs(spark).where("source in ('gitleaks', 'ruff')").write.json(str(tmp_path / "raw"))
     start(spark, str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_tool_server(spark, tmp_path):
+    import io
+
+    from codeweir import mcp
+
+    write_project(tmp_path, {"src/a.ts": "// TODO: remove later\nexport const a = 1;\n", "coverage/coverage-summary.json": '{"total":{"lines":{"pct":20}}}', "package.json": '{"devDependencies":{"vitest":"3"}}'})
+    ask = [
+        {"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "nope"}, {"id": 4, "method": "tools/call", "params": {}},
+        {"id": 5, "method": "tools/call", "params": {"name": "codeweir_scan_full", "arguments": {"failOnBlockers": True}}}, {"id": 6, "method": "tools/call", "params": {"name": "codeweir_get_report"}}, {"id": 7},
+        {"id": 8, "method": "tools/call", "params": {"name": "codeweir_explain_finding", "arguments": {"findingId": "vitest:coverage"}}}, {"id": 9, "method": "tools/call", "params": {"name": "codeweir_verify", "arguments": {"categories": "x"}}},
+    ]
+    sink = io.BytesIO()
+    mcp.serve(str(tmp_path), io.BytesIO(b"".join(mcp.framed(x) for x in ask)), sink)
+    got, rest = mcp.messages(sink.getvalue())
+    by = {x["id"]: x for x in got}
+    assert not rest and len(by[2]["result"]["tools"]) == 7 and by[3]["error"]["code"] == -32601 and by[4]["error"]["code"] == -32602 and by[7]["error"]["code"] == -32600
+    scan = by[5]["result"]["structuredContent"]
+    assert scan["status"] == "blocked" and scan["exitCode"] == 1 and [b["id"] for b in scan["blockers"]] == ["vitest:coverage"]
+    assert by[6]["result"]["structuredContent"]["report"]["score"] == scan["score"] and by[8]["result"]["structuredContent"]["finding"]["source"] == "vitest" and "result" in by[9]
+    sink = io.BytesIO()
+    mcp.serve(str(tmp_path), io.BytesIO(b"Bad: 1\r\n\r\n{}"), sink)
+    assert b"-32700" in sink.getvalue()
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from datetime import datetime
+
+    from codeweir.streaming.landing import events_by_window
+
+    rows = [(datetime(2024, 1, 1, 0, 5), "tests"), (datetime(2024, 1, 1, 0, 50), "tests"), (datetime(2024, 1, 1, 1, 1), "security")]
+    spark.createDataFrame(rows, "ts timestamp, category string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, category string").parquet(str(tmp_path / "in"))
+    q = events_by_window(stream).writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["category"], r["n"]) for r in spark.table("windowed").collect()) == [("security", 1), ("tests", 2)]
