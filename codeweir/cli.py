@@ -1,4 +1,4 @@
-"""Commands: scan, verify, report, agent-plan, explain, baseline, fix, init, setup."""
+"""Commands: scan, verify, report, agent-plan, explain, baseline, fix, init, agent, setup."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeweir.operators.findings import parse_categories
 from codeweir.plans import reports
+from codeweir.plans.assets import agent_init, doctor
 from codeweir.plans.scan import ScanResult, agent_plan, changed_only, changed_files, empty_raw, exit_code, explain, fix_commands, is_dirty, plan_sources, run_scan
 from codeweir.plans.setup import render_setup, setup_plan
 from codeweir.sources import tools
@@ -107,12 +108,17 @@ def main(argv: list[str] | None = None) -> int:
     command("baseline", (["action"], {"choices": ["create"]}))
     command("fix", (["--safe"], flag))
     command("init")
+    command("agent", (["action"], {"choices": ["init", "doctor"]}), (["--force"], flag))
     command("setup", (["--include"], {"default": "recommended"}), (["--apply"], flag))
     a = p.parse_args(argv)
     root = os.path.abspath(a.root)
     if a.command == "init":
         print(init(root))
         return 0
+    if a.command == "agent":
+        found = agent_init(root, a.force) if a.action == "init" else doctor(root)
+        print(json.dumps(found, indent=2))
+        return 0 if a.action == "init" or all(found.values()) else 1
     categories = parse_categories(getattr(a, "category", None))
     spark = session()
     if a.command == "setup":

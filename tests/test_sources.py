@@ -35,6 +35,16 @@ def test_config_aliases_and_merge(tmp_path):
     assert cf.load_config(str(tmp_path / "none"))[0] == cf.Config() and cf.load_policy(str(tmp_path)) == cf.Policy()
 
 
+def test_managed_files(tmp_path, capsys):
+    from codeweir.plans.assets import agent_init, doctor, merged_results
+
+    root = str(tmp_path)
+    assert agent_init(root)["created"] and agent_init(root)["skipped"] and agent_init(root, True)["updated"]
+    assert cf.load_policy(root) == cf.Policy() and doctor(root)["policy"] and not doctor(root)["config"]
+    assert merged_results([{"created": ["a"]}, {"created": ["a", "b"]}])["created"] == ["a", "b"]
+    assert cli.main(["agent", "doctor", "--root", root]) == 1 and cli.main(["agent", "init", "--root", root]) == 0
+
+
 def test_gitignore():
     assert gitignore_globs("# c\n/logs/\n!x\n\n*.log") == ["logs/**", "*.log"]
 
