@@ -31,27 +31,22 @@ THRESHOLD = 0.5
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature numbers (below DIM) of each value, and their n + 1 offsets:
     words in lower case without punctuation at their ends, and their stems."""
-    keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    pairs = [np.zeros(0, np.int64)]
     clean = _LETTERS[data]
     spaced = np.where(clean == 0, np.uint8(32), clean)
     for h, s, e in word_spans(spaced, offs, lower=False):
-        doc = np.searchsorted(offs, s, "right") - 1
-        rows = [h]
+        owner = (np.searchsorted(offs, s, "right") - 1) << 20
+        found = [owner + (h >> np.uint64(44)).astype(np.int64)]
         for n in STEMS:
-            long = e - s > n
-            at = s[long]
+            longer = e - s > n
+            at = s[longer]
             stem = np.full(len(at), n, np.uint64)
             for j in range(n):
                 stem = stem * np.uint64(0x100000001B3) + spaced[at + j]
-            rows.append(mix(stem + np.uint64(0x5851F42D4C957F2D)))
-            doc_n = doc[long]
-            keys.append((rows[-1] >> np.uint64(44)).astype(np.int64))
-            owners.append(doc_n)
-        keys.append((h >> np.uint64(44)).astype(np.int64))
-        owners.append(doc)
-    pair = np.unique(np.concatenate(owners) * DIM + np.concatenate(keys))
-    n = len(offs) - 1
-    return pair & (DIM - 1), np.searchsorted(pair >> 20, np.arange(n + 1))
+            found.append(owner[longer] + (mix(stem + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(44)).astype(np.int64))
+        pairs.append(np.unique(np.concatenate(found)))  # a block at a time, so that a long text stays small
+    pair = np.unique(np.concatenate(pairs))
+    return pair & (DIM - 1), np.searchsorted(pair >> 20, np.arange(len(offs)))
 
 
 def _letters() -> np.ndarray:
@@ -205,7 +200,7 @@ def scored(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text
 
     def run(batches):
         for b in batches:
-            data, offs = text_buffers(b.column("__text"))
+            data, offs = text_buffers(b.column(b.num_columns - 1))
             out: dict[str, list[np.ndarray]] = {n: [np.zeros(0)] for n in names}
             for i, j in row_slices(offs, 1 << 20):
                 part = offs[i : j + 1]
