@@ -377,7 +377,7 @@ def leftovers_full_fixture(spark, sf_dir):
     return rows.select("file", F.col("start_line").cast("bigint").alias("start_line"), "title", "severity", "confidence", F.array_join(F.sort_array("tags"), ",").alias("tags"))
 
 
-FN = r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z0-9_]+)|^\s*def\s+([A-Za-z0-9_]+)|^\s*(?:export\s+)?const\s+([A-Za-z0-9_]+)\s*=\s*(?:async\s*)?\("
+FN = rf.FUNCTION
 BLOCKS_CTE = rf"""rl AS (SELECT path, unnest(string_split_regex(content, '\r?\n')) AS raw, unnest(range(1, len(string_split_regex(content, '\r?\n')) + 1)) AS line FROM {fixed.files_sql(fixed.REFACTOR_FILES)} x WHERE NOT regexp_matches(substr(content, 1, 200), '(?i)generated')),
 starts AS (SELECT path, line, coalesce(nullif(regexp_extract(raw, '{FN}', 1), ''), nullif(regexp_extract(raw, '{FN}', 2), ''), nullif(regexp_extract(raw, '{FN}', 3), '')) AS name FROM rl WHERE regexp_matches(raw, '{FN}')),
 ends AS (SELECT s.path, s.name, s.line AS start_line, coalesce(lead(s.line) OVER (PARTITION BY s.path ORDER BY s.line) - 1, (SELECT max(line) FROM rl WHERE rl.path = s.path)) AS end_line FROM starts s),
