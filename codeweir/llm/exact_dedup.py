@@ -50,6 +50,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = written(refined.select(F.col("__id").alias(id_col), full.alias("full_hash"), *extra), "dedup-rows")
     shared = rows.where("full_hash is not null")
     groups = shared.groupBy(F.col("full_hash").alias("__h")).agg(F.min(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # One hash may hold a third of all rows: beside a broadcast they stay where they are;
+    # beyond its bound the join is an equi-join that adaptive execution splits.
+    groups = checked_broadcast(written(groups, "dedup-groups"), MAX_BROADCAST)
     grouped = shared.join(groups, F.col("full_hash") == F.col("__h")).drop("__h")
     single = rows.where("full_hash is null").withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long")})
     found = grouped.select(single.columns).union(single)
