@@ -50,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: what a Python worker holds of a scan at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, which are 10,000 rows of any size by default."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark a written table for broadcast only if it has at most max_rows rows;
     otherwise it is returned as it is and the join shuffles."""
@@ -81,7 +91,7 @@ def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
 _R = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_R, -1, 1 << 64)
 #: Bytes hashed at a time: what bounds the memory of word_hashes().
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

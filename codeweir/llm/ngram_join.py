@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweir.llm.bloom import Bloom
-from codeweir.llm.common import checked_broadcast, mix, row_slices, shingle_sets, table, text_buffers, word_hashes, written
+from codeweir.llm.common import bounded_batches, checked_broadcast, mix, row_slices, shingle_sets, table, text_buffers, word_hashes, written
 from codeweir.llm.components import components
 from codeweir.llm.signature_tree import SignatureTree, bitmap, folded, width
 
@@ -57,7 +57,8 @@ def rarity(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
         sums = np.zeros(cells, np.uint32)
         for b in batches:
             for _, sets, _ in sets_of(b.column("__text"), k):
-                sums += np.bincount((sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells).astype(np.uint32)
+                found, times = np.unique((sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                sums[found] += times.astype(np.uint32)
         sums = np.minimum(sums, 65535)
         kind = np.uint8 if sums.max() < 256 else np.uint16
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([bytes([kind().itemsize]) + x.astype(kind).tobytes() for x in sums.reshape(SKETCH_SLICES, part)], pa.binary())], names=["slot", "sums"])
@@ -304,6 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
+    bounded_batches(docs.sparkSession)
     known = written(keys(docs, id_col, text_col, words), "join-keys")
     some = known.where("id is not null and n > 0")
     classes = written(some.groupBy("digest").agg(F.min("id").alias("cid"), F.first("anchors").alias("anchors")), "join-classes")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweir.llm.common import mix, row_slices, table, text_buffers, word_hashes
+from codeweir.llm.common import bounded_batches, mix, row_slices, table, text_buffers, word_hashes
 from codeweir.llm.tokens import default_vocabulary, encoder
 
 SEQUENCE = 1024
@@ -103,6 +103,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     each. An empty table gives an empty result; other columns are ignored.
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
+    bounded_batches(spark)
     points = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
     size, found = with_keys(docs, id_col, text_col).agg(F.sum("__size"), F.percentile_approx("__key", points, 10 * MAX_RANGES)).first()
     ranges = int(min(MAX_RANGES, max(1, -(-(size or 0) // RANGE_BYTES))))

@@ -14,7 +14,7 @@ import os
 import numpy as np
 
 #: Pieces kept at once (about 150 bytes each), and the longest piece kept.
-MAX_PIECES, MAX_PIECE = 400_000, 48
+MAX_PIECES, MAX_PIECE = 200_000, 48
 END_OF_TEXT = "<|endoftext|>"
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweir.llm.common import mix, row_slices, table, text_buffers, word_spans
+from codeweir.llm.common import bounded_batches, mix, row_slices, table, text_buffers, word_spans
 
 DIM = 1 << 20
 #: Prefix lengths (bytes of letters) that stand for stems.
@@ -151,6 +151,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chain=
     """Train on at most `sample` labelled rows, drawn by a hash of their id. Half of the
     places go to rows that are positive in the last category, if there are as many. Rows
     with a null id, text or label, and texts over SAMPLE_BYTES, aren't drawn."""
+    bounded_batches(docs.sparkSession)
     last_col, last_value = chain[-1][1:]
     positive = (F.col(last_col) == last_value).alias("__pos")
     known = labels.select(F.col("doc_id").alias("__id"), positive, *((F.col(c) == v).alias(f"__y_{n}") for n, c, v in chain)).dropna()
@@ -179,6 +180,7 @@ def scored(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text
     empty texts have no features: their probability is that of the biases, and they
     count as clean. only_clean: instead, rows of docs with their columns, without
     those of the last category."""
+    bounded_batches(docs.sparkSession)
     # Words that no model uses are dropped; what is sent to the workers has at most DIM rows.
     used = np.flatnonzero(np.any([m.weights != 0 for m in chain.models], axis=0))
     small = (chain.names, used, [(m.weights[used], m.extra, m.bias) for m in chain.models])
