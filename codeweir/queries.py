@@ -226,6 +226,14 @@ def category_filter_rescore(spark, sf_dir):
     return fx.overall_score(fx.in_categories(flagged_findings(spark, sf_dir), ["leftovers"]).where("ord % 50 = 0"))
 
 
+# All findings of the category. The penalty is given too, as the score of many findings is 0 whatever is left out.
+@query("category_rescore_all", f"{FINDINGS_CTE.replace('scored.category = dim.category', 'scored.category = dim.category AND scored.category = ' + chr(39) + 'leftovers' + chr(39))} SELECT {OVERALL} AS overall, (SELECT penalty_cents FROM cats WHERE category = 'leftovers') AS penalty_cents")
+def category_rescore_all(spark, sf_dir):
+    rows = fx.in_categories(flagged_findings(spark, sf_dir), ["leftovers"])
+    penalty = fx.category_scores(rows).where("category = 'leftovers'").select("penalty_cents")
+    return fx.overall_score(rows).crossJoin(penalty)
+
+
 @query("finding_sort_rank", f"{FINDINGS_CTE} SELECT category, CAST(rank - min(rank) OVER (PARTITION BY category) + 1 AS INTEGER) AS place, id FROM ranked")
 def finding_sort_rank(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("category").orderBy(*fx.order()))

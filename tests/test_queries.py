@@ -34,3 +34,12 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == cols
     want = sorted(repr([plain(r[names.index(c)]) for c in cols]) for r in rows.fetchall())
     assert got == want
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables")
+def test_rescore_takes_all_findings_of_the_category(spark):
+    cents = {r["ord"]: r["cents"] for r in engine.QUERIES["score_per_finding"](spark, SF).collect()}
+    left = {r["ord"] for r in engine.QUERIES["dedupe_events"](spark, SF).collect() if r["category"] == "leftovers"}
+    got = engine.QUERIES["category_rescore_all"](spark, SF).first()
+    assert len(left) > len([x for x in left if x % 50 == 0])
+    assert got["penalty_cents"] == sum(cents[x] for x in left)
