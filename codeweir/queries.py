@@ -473,6 +473,13 @@ def dead_components_part(spark, sf_dir):
     return weak_components(keys.where("path % 3 <> 0"), edges)
 
 
+# The nodes that nothing reaches from the seeds, as in dead chains.
+@query("unreached_components_part", f"WITH RECURSIVE {PART_EDGES}, alive AS (SELECT 1::BIGINT AS path UNION SELECT 3::BIGINT UNION SELECT e.dst FROM alive JOIN e ON e.src = alive.path), n AS (SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT path FROM alive)), b AS (SELECT src, dst FROM e WHERE src IN (SELECT path FROM n) AND dst IN (SELECT path FROM n) UNION SELECT dst, src FROM e WHERE src IN (SELECT path FROM n) AND dst IN (SELECT path FROM n)), r(path, reach) AS (SELECT path, path FROM n UNION SELECT r.path, b.dst FROM r JOIN b ON b.src = r.reach) SELECT path, min(reach) AS component FROM r GROUP BY path")
+def unreached_components_part(spark, sf_dir):
+    keys, edges = part_graph(spark, sf_dir)
+    return weak_components(keys.join(reachability_part(spark, sf_dir), "path", "left_anti"), edges)
+
+
 # --- paths, projects, plans -----------------------------------------------------------------
 
 PATHS = ["src/a.ts", "src/deep/b.py", ".hidden/c.js", "node_modules/x/index.js", "pkg/node_modules/y.ts", "dist/out.js", "a.py", "docs/readme.md", "coverage/lcov.info", "egg/x.egg-info/PKG.py", "app/__pycache__/m.py"]

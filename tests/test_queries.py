@@ -43,3 +43,17 @@ def test_rescore_takes_all_findings_of_the_category(spark):
     got = engine.QUERIES["category_rescore_all"](spark, SF).first()
     assert len(left) > len([x for x in left if x % 50 == 0])
     assert got["penalty_cents"] == sum(cents[x] for x in left)
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables")
+def test_components_take_all_nodes_that_nothing_reaches(spark, duck):
+    keys = {k for (k,) in duck.execute("SELECT p_partkey FROM part").fetchall()}
+    alive, new = set(), {1, 3}
+    while new:
+        alive |= new
+        new = {2 * k for k in new} & keys
+    got = {r["path"]: r["component"] for r in engine.QUERIES["unreached_components_part"](spark, SF).collect()}
+    assert set(got) == keys - alive and any(k % 3 == 0 for k in got)
+    # Chains double their key, and what an unreached key halves to is not reached either.
+    first = lambda k: first(k // 2) if k and k % 2 == 0 and k // 2 in got else k
+    assert got == {k: first(k) for k in got}
