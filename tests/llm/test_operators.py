@@ -435,6 +435,29 @@ def test_scores_equal_brute_force(spark):
     assert lm_scoring.backoff_scores(docs(spark, rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_scores_of_other_orders_equal_brute_force(spark, order):
+    rows = [(i, t) for i, t in enumerate(random_texts(11, 80, 12, 40))] + [(100, None), (101, ""), (102, "Once ONCE once"), (103, "once"), (103, "once"), (None, "w1 w2 w3")]
+    seen = Counter()
+    for _, t in rows:
+        w = words_of(t)
+        seen.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    n = sum(c for g, c in seen.items() if len(g) == 1)
+
+    def log_of(gram):
+        if len(gram) == 1:
+            return math.log(seen[gram] / n)
+        return math.log(seen[gram] / seen[gram[:-1]]) if seen[gram] >= 2 else math.log(0.4) + log_of(gram[1:])
+
+    def score(t):
+        w = words_of(t)
+        back = sum(order > 1 and seen[w[i - 1], w[i]] < 2 for i in range(1, len(w)))
+        return len(w), back, round(sum(log_of(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))) + 0.0, 6)
+
+    got = lm_scoring.backoff_scores(docs(spark, rows), order=order, chunk_bytes=500, part_bytes=700).collect()
+    assert sorted(repr((r["doc_id"], r["n_words"], r["n_backoff"], round(r["log_score"], 6))) for r in got) == sorted(repr((i, *score(t))) for i, t in rows)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.text(alphabet=list("aB é\n\t\u00a0x"), max_size=30), max_size=12))
 def test_words_are_split_as_the_pattern_says(texts):
