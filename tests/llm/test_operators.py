@@ -259,6 +259,27 @@ def pour(children, budget):
     return share
 
 
+def brute_mix(spark, rows, mix):
+    """Ids that one epoch of the mix takes of (id, text, language, source); only the hash of the
+    order is Spark's."""
+    ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
+    order = {r["doc_id"]: r["h"] % 2**64 for r in ids.select("doc_id", F.xxhash64(F.lit(mix.seed), F.lit(0), "doc_id").alias("h")).collect()}
+    tree = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
+    for i, t, lang, src in rows:
+        tree[mix.domain_of.get(src, "other")][lang or "(none)"][src or "(none)"].append((order[i], i, len(words_of(t))))
+    size = lambda x: sum(map(size, x.values())) if isinstance(x, dict) else sum(n for *_, n in x)
+    split = lambda nodes, level, budget: pour({k: (size(x), mix.weights[level].get(k, mix.default)) for k, x in nodes.items()}, budget)
+    kept = set()
+    for d, b in split(tree, "domain", size(tree) * mix.share).items():
+        for lang, c in split(tree[d], "lang", b).items():
+            for src, e in split(tree[d][lang], "source", c).items():
+                start = 0
+                for _, i, n in sorted(tree[d][lang][src]):
+                    kept |= {i} if start < math.floor(e + 1e-9) else set()
+                    start += n
+    return kept
+
+
 def test_budgets_and_selection_equal_brute_force(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["en", "fr", None]), rng.choice(["src0", "src1", "src12", "src17", "odd", None])) for i in range(300)]
@@ -288,6 +309,9 @@ def test_budgets_and_selection_equal_brute_force(spark):
     assert mixing.select_mix(docs(spark, rows).where("false"), mix, mixing.words()).count() == 0
     kept = mixing.mixed(docs(spark, rows), mixing.Mix(share=1.0))
     assert kept.count() == sum(1 for r in rows if r[1]) + sum(1 for r in rows if not r[1] and False) or kept.count() <= 300
+    for whole in (mixing.Mix(share=1.0), mixing.Mix(share=0.5)):
+        ids = [r["doc_id"] for r in mixing.mixed(docs(spark, rows), whole).collect()]
+        assert sorted(ids) == sorted(brute_mix(spark, rows, whole))
 
 
 # --- 6 -----------------------------------------------------------------------------

@@ -4,7 +4,8 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_links
+from codeweir.llm.mixing import Mix
+from tests.llm.test_operators import brute_links, brute_mix
 
 
 def test_pipeline_decisions(spark, tmp_path):
@@ -27,7 +28,9 @@ def test_pipeline_decisions(spark, tmp_path):
         out = stage(spark, before, sf)
         out.write.parquet(str(tmp_path / name))
         after = spark.read.parquet(str(tmp_path / name))
-        seen.append({r["doc_id"] for r in after.select("doc_id").collect()})
+        ids = [r["doc_id"] for r in after.select("doc_id").collect()]
+        assert name == "packing" or len(ids) == len(set(ids))
+        seen.append(set(ids))
         if name != "packing":
             assert after.columns == before.columns
             before = after
@@ -44,5 +47,6 @@ def test_pipeline_decisions(spark, tmp_path):
     for i in seen[3]:
         groups[i] += 1
     assert seen[3] < seen[2] and seen[4] == seen[3]
+    assert seen[3] == brute_mix(spark, [(i, texts[i], rows[i][2], rows[i][3]) for i in sorted(seen[2])], Mix())
     assert corpus_pipeline.ORACLE_SQL is None
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == seen[4]
