@@ -6,14 +6,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweir.llm.common import mix
+from codeweir.llm.common import merged_by_tree, mix
 
 #: 2**25 bits: 4 MB, whatever the input. Slices in which partial filters are united.
 BITS, SLICES = 25, 64
 _SALT = np.uint64(0x94D049BB133111EB)
+_SCHEMA = "slot int, node int, bits binary"
 
 
 def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,15 +35,17 @@ class Bloom:
                     bits[places] = True
             packed = np.packbits(bits).reshape(SLICES, part)
             some = np.flatnonzero(packed.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["slot", "bits"])
+            node = np.full(len(some), TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(node), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["slot", "node", "bits"])
 
         def unite(t: pa.Table) -> pa.Table:
             total = np.zeros(part, np.uint8)
             for raw in t["bits"]:
                 total |= np.frombuffer(raw.as_py(), np.uint8)
-            return pa.table({"slot": t["slot"][:1], "bits": pa.array([total.tobytes()], pa.binary())})
+            return pa.table({"slot": t["slot"][:1], "node": t["node"][:1], "bits": pa.array([total.tobytes()], pa.binary())})
 
-        rows = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(build, "slot int, bits binary").groupBy("slot").applyInArrow(unite, "slot int, bits binary")
+        some = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull())
+        rows = merged_by_tree(some.mapInArrow(build, _SCHEMA), some.rdd.getNumPartitions(), unite, _SCHEMA)
         packed = np.zeros((SLICES, part), np.uint8)
         for r in rows.collect():
             packed[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
@@ -63,3 +67,7 @@ class Bloom:
                 yield b.filter(pa.array(keep)).select(range(b.num_columns - 1))
 
         return df.select("*", key.cast("long").alias("__bloom")).mapInArrow(run, df.schema)
+
+    def close(self) -> None:
+        """Free it everywhere, once all that it filters has been written."""
+        self.sent.destroy()

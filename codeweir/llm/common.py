@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests on one machine), a temporary folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is
+    unset and all runs on this machine (tests), a temporary folder of our own; on a
+    cluster, where executors wouldn't see such a folder, an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="codeweir-")
         sc.setCheckpointDir(path)
     return path
@@ -60,10 +63,35 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a written table for broadcast only if it has at most max_rows rows;
-    otherwise it is returned as it is and the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def removed(spark: SparkSession, frames: list[DataFrame]) -> None:
+    """Delete the folders of written tables that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bytes of rows (their values, not Spark's overhead) that a broadcast may have.
+BROADCAST_BYTES = 16 << 20
+
+
+def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast only if it has at most max_rows rows of max_bytes
+    in all; otherwise it is returned as it is and the join shuffles."""
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(*wide))), F.lit(0)) if wide else F.lit(0), F.lit(8 * (len(df.columns) - len(wide)))), F.lit(0))
+    n, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= max_rows and (total or 0) <= max_bytes else df
+
+
+def merged_by_tree(parts: DataFrame, tasks: int, merge, schema: str, fan: int = 256) -> DataFrame:
+    """Partial results (slot, node, ...) of so many tasks, united by slot: at most fan meet in a
+    group, so that no group grows with the input. merge takes a table of one slot and gives
+    one row (slot, node, ...), in which node is the group's."""
+    while tasks > fan:
+        parts = parts.withColumn("node", F.floor(F.col("node") / fan).cast("int"))
+        parts = parts.groupBy("slot", "node").applyInArrow(merge, schema)
+        tasks = -(-tasks // fan)
+    return parts.groupBy("slot").applyInArrow(merge, schema)
 
 
 def total_bytes(docs: DataFrame, text_col: str) -> tuple[int, int]:
@@ -88,23 +116,10 @@ def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-_R = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_R, -1, 1 << 64)
 #: Bytes hashed at a time: what bounds the memory of word_hashes().
 BLOCK = 1 << 19
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(BLOCK * 2, 1 << int(n - 1).bit_length())
-    if size not in _powers:
-        made = []
-        for base in (_R, _INV):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
-        _powers[size] = (made[0], made[1])
-    return _powers[size]
+#: Bytes of a word that one sum covers; longer words have several, each mixed by itself.
+PIECE = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -118,33 +133,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_codes(lower: bool) -> np.ndarray:
-    codes = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+def _codes(lower: bool) -> np.ndarray:
+    """A random 64-bit number for each place in a piece and byte."""
+    codes = mix(np.arange(1, PIECE * 256 + 1, dtype=np.uint64)).reshape(PIECE, 256)
     if lower:
-        codes[65:91] = codes[97:123]
-    codes[[32, 9, 10, 11, 12, 13]] = 0
-    return codes
-
-
-_CODES = {x: _byte_codes(x) for x in (False, True)}
+        codes[:, 65:91] = codes[:, 97:123]
+    return codes.ravel()
+
+
+_CODES = {x: _codes(x) for x in (False, True)}
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[32, 9, 10, 11, 12, 13]] = False
+_PIECE_STEP, _LENGTH_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
+
+
+def _hashed(letters: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of words whose letters follow one another: sums of the numbers of place and byte.
+    Nothing is a power of a base, so no repeating letters cancel out."""
+    start = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(start, lengths)
+    numbers = codes[((place & (PIECE - 1)) << 8) | letters]
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    if lengths.max() <= PIECE:
+        h = np.add.reduceat(numbers, start)
+    else:
+        pieces = -(-lengths // PIECE)
+        head = np.cumsum(pieces) - pieces
+        nth = np.arange(int(pieces.sum())) - np.repeat(head, pieces)
+        part = np.add.reduceat(numbers, np.repeat(start, pieces) + nth * PIECE)
+        later = nth > 0
+        part[later] = mix(part[later] + nth[later].astype(np.uint64) * _PIECE_STEP)
+        h = np.add.reduceat(part, head)
+    return mix(h + lengths.astype(np.uint64) * _LENGTH_STEP)
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, lower: bool = True):
     """Yield (hashes, starts, ends) of the words, in order, a block of text at a
-    time. Blocks end at white space or between values, so no word is cut."""
+    time. Blocks end at white space or between values, so no word is cut. Different words
+    have the same 64-bit hash with a probability of 2**-64, whatever their letters."""
     n, pos, codes = len(data), 0, _CODES[lower]
     while pos < n:
         end = min(n, pos + BLOCK)
         if end < n:
             stop = int(offs[np.searchsorted(offs, end)])
             while end < stop:
-                gap = np.flatnonzero(codes[data[end : min(stop, end + 4096)]] == 0)
+                gap = np.flatnonzero(~_IN_WORD[data[end : min(stop, end + 4096)]])
                 if len(gap):
                     end += int(gap[0])
                     break
                 end = min(stop, end + 4096)
-        v = codes[data[pos:end]]
-        full = v != 0
+        full = _IN_WORD[data[pos:end]]
         first, last = full.copy(), full.copy()
         first[1:] &= ~full[:-1]
         last[:-1] &= ~full[1:]
@@ -153,13 +192,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray, lower: bool = True):
         cuts = cuts[cuts > 0]
         last[cuts - 1] = full[cuts - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _power_tables(end - pos)
-        v *= up[: end - pos]
-        sums = np.zeros(end - pos + 1, np.uint64)
-        np.cumsum(v, out=sums[1:])
-        h = (sums[e] - sums[s]) * down[s]
-        h += (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-        yield mix(h), s + pos, e + pos
+        yield _hashed(data[pos:end][full], e - s, codes), s + pos, e + pos
         pos = end
 
 
