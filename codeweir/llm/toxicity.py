@@ -8,14 +8,15 @@ Training uses a bounded sample of labelled rows; every row is scored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import pickle
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweir.llm.common import bounded_batches, mix, row_slices, table, text_buffers, word_spans
+from codeweir.llm.common import bounded_batches, mix, row_slices, table, text_buffers, word_spans, written
 
 DIM = 1 << 20
 #: Prefix lengths (bytes of letters) that stand for stems.
@@ -64,12 +65,20 @@ _LETTERS = _letters()
 class Linear:
     """Logistic regression over selected features, then dense extras, then a bias."""
 
-    weights: np.ndarray  # DIM float32, zero where not selected
+    at: np.ndarray  # feature numbers
+    weights: np.ndarray  # float32, of these
     extra: np.ndarray
     bias: float
+    _dense: np.ndarray | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self):
+        return {**self.__dict__, "_dense": None}
 
     def margin(self, cols: np.ndarray, offs: np.ndarray, extras: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0.0], np.cumsum(self.weights[cols], dtype=np.float64)))
+        if self._dense is None:
+            self._dense = np.zeros(DIM, np.float32)
+            self._dense[self.at] = self.weights
+        sums = np.concatenate(([0.0], np.cumsum(self._dense[cols], dtype=np.float64)))
         return sums[offs[1:]] - sums[offs[:-1]] + extras @ self.extra + self.bias
 
     def probability(self, cols, offs, extras) -> np.ndarray:
@@ -82,7 +91,7 @@ def fit(cols: np.ndarray, offs: np.ndarray, extras: np.ndarray, y: np.ndarray, s
     equally."""
     n, rows = len(y), np.repeat(np.arange(len(y)), np.diff(offs))
     if not n or y.all() or not y.any():
-        return Linear(np.zeros(DIM, np.float32), np.zeros(extras.shape[1]), 4.0 if n and y.all() else -4.0)
+        return Linear(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(extras.shape[1]), 4.0 if n and y.all() else -4.0)
     pos, neg = y.sum(), n - y.sum()
     p = np.bincount(cols, y[rows], DIM)
     q = np.bincount(cols, minlength=DIM) - p
@@ -105,9 +114,7 @@ def fit(cols: np.ndarray, offs: np.ndarray, extras: np.ndarray, y: np.ndarray, s
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         step = 0.1 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
         w, e, b = w - step[: len(ids)], e - step[len(ids) : -1], b - step[-1]
-    out = np.zeros(DIM, np.float32)
-    out[ids] = w
-    return Linear(out, e, float(b))
+    return Linear(ids, w.astype(np.float32), e, float(b))
 
 
 def rows_of(cols, offs, pick: np.ndarray):
@@ -147,57 +154,53 @@ class Chain:
         return out
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chain=CHAIN) -> Chain:
-    """Train on at most `sample` labelled rows, drawn by a hash of their id. Half of the
-    places go to rows that are positive in the last category, if there are as many. Rows
-    with a null id, text or label, and texts over SAMPLE_BYTES, aren't drawn."""
-    bounded_batches(docs.sparkSession)
-    last_col, last_value = chain[-1][1:]
-    positive = (F.col(last_col) == last_value).alias("__pos")
-    known = labels.select(F.col("doc_id").alias("__id"), positive, *((F.col(c) == v).alias(f"__y_{n}") for n, c, v in chain)).dropna()
-    draws = [known.where(F.col("__pos") == p).orderBy(F.xxhash64("__id"), "__id").limit(sample // 2) for p in (True, False)]
-    picked = F.broadcast(draws[0].union(draws[1]))  # at most `sample` rows
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+def train_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """Train on at most `sample` labelled rows, drawn by a hash of their id among those that can be
+    used: rows with a null id, text or label, and texts over SAMPLE_BYTES, can't. Half of
+    the places go to rows that are positive in the last category, if there are as many. Of
+    rows that repeat an id one is used, whose text has the smallest hash; labels that
+    repeat an id are positive if any of them is. One task of an executor fits the models on
+    the sample, whose size is bounded; the driver gets their weights alone."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    last = chain[-1][0]
     names = [n for n, _, _ in chain]
-
-    def run(batches):
+    known = labels.select(F.col(id_col).alias("__id"), *((F.col(c) == v).alias(f"__y_{n}") for n, c, v in chain)).dropna()
+    known = known.groupBy("__id").agg(*(F.max(f"__y_{n}").alias(f"__y_{n}") for n in names))
+    usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
+    usable = usable.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
+    able = known.join(usable.select("__doc"), F.col("__id") == F.col("__doc"), "left_semi")
+    draws = [able.where(F.col(f"__y_{last}") == p).orderBy(F.xxhash64("__id"), "__id").limit(sample // 2) for p in (True, False)]
+    picked = F.broadcast(written(draws[0].union(draws[1]), "toxicity-sample"))  # at most `sample` rows
+    texts = usable.join(picked, F.col("__doc") == F.col("__id"))
+    texts = texts.groupBy("__id", *(f"__y_{n}" for n in names)).agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text"))
+
+    def fitted(batches):
+        parts, ids, ys = [], [], {n: [] for n in names}
         for b in batches:
-            cols, offs = features(*text_buffers(b.column("text")))
-            made = [cols[offs[i] : offs[i + 1]].astype("<u4").tobytes() for i in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(made, pa.binary()), *(b.column(f"__y_{n}") for n in names)], names=["doc_id", "features", *names])
+            cols, offs = features(*text_buffers(b.column("__text")))
+            parts += [cols[offs[i] : offs[i + 1]].astype(np.int32) for i in range(len(offs) - 1)]
+            ids += b.column("__id").to_pylist()
+            for n in names:
+                ys[n] += b.column(f"__y_{n}").to_pylist()
+        by = sorted(range(len(ids)), key=ids.__getitem__)
+        offs = np.concatenate(([0], np.cumsum([len(parts[i]) for i in by]))).astype(np.int64)
+        cols = np.concatenate([parts[i] for i in by] or [np.zeros(0, np.int32)])
+        made = Chain.train(cols, offs, {n: np.array([ys[n][i] for i in by], bool) for n in names})
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["chain"])
 
-    joined = texts.join(picked, F.col("doc_id") == F.col("__id"))
-    rows = joined.select("doc_id", "text", *(f"__y_{n}" for n in names)).mapInArrow(run, "doc_id long, features binary, " + ", ".join(f"`{n}` boolean" for n in names))
-    got = sorted(rows.limit(2 * sample).collect(), key=lambda r: (r["doc_id"], bytes(r["features"])))
-    parts = [np.frombuffer(r["features"], "<u4").astype(np.int32) for r in got]
-    offs = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
-    cols = np.concatenate(parts or [np.zeros(0, np.int32)])
-    return Chain.train(cols, offs, {n: np.array([r[n] for r in got], bool) for n in names})
+    made = texts.repartition(1).mapInArrow(fitted, "chain binary").first()
+    return pickle.loads(bytes(made["chain"])) if made else Chain.train(np.zeros(0, np.int32), np.zeros(1, np.int64), {n: np.zeros(0, bool) for n in names})
 
 
 def scored(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text", only_clean: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """keep columns, then p_<category> of each and <last category> (boolean). Null and
     empty texts have no features: their probability is that of the biases, and they
-    count as clean. only_clean: instead, rows of docs with their columns, without
-    those of the last category."""
+    count as clean. Whole texts are read, however long; repeated rows are scored each. An
+    empty table gives an empty result. only_clean: instead, rows of docs with their
+    columns, without those of the last category."""
     bounded_batches(docs.sparkSession)
-    # Words that no model uses are dropped; what is sent to the workers has at most DIM rows.
-    used = np.flatnonzero(np.any([m.weights != 0 for m in chain.models], axis=0))
-    small = (chain.names, used, [(m.weights[used], m.extra, m.bias) for m in chain.models])
-    sent = docs.sparkSession.sparkContext.broadcast(small)
-    built: list[Chain] = []
-
-    def model() -> Chain:
-        if not built:
-            names, at, parts = sent.value
-            models = []
-            for w, e, b in parts:
-                full = np.zeros(DIM, np.float32)
-                full[at] = w
-                models.append(Linear(full, e, b))
-            built.append(Chain(names, models))
-        return built[0]
-
+    sent = docs.sparkSession.sparkContext.broadcast(chain)  # the weights of at most DIM features for each category
     last, names = chain.names[-1], chain.names
 
     def run(batches):
@@ -207,7 +210,7 @@ def scored(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text
             for i, j in row_slices(offs, 1 << 20):
                 part = offs[i : j + 1]
                 cols, at = features(data[part[0] : part[-1]], part - part[0])
-                for n, p in model().probabilities(cols, at).items():
+                for n, p in sent.value.probabilities(cols, at).items():
                     out[n].append(p)
             p = {n: np.concatenate(x) for n, x in out.items()}
             bad = (p[last] >= threshold) & (np.diff(offs) > 0)
