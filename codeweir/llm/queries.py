@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from codeweir.llm import chat, exact_dedup, lm_scoring, mixing, neighbours, ngram_join, packing, secrets, span_sql, token_counts, toxicity
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lm_scores": lm_scoring.op10_lm_scores,
-        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -27,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_join": ngram_join.SQL,
         "op2_secret_scan": span_sql.secret_sql(),
         "op3_chat_format": span_sql.chat_sql(),
+        "op5_mixing": mixing.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
         "op8_neighbours": neighbours.SQL,
         "op10_lm_scores": lm_scoring.SQL,
