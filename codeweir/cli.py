@@ -1,4 +1,4 @@
-"""Commands: scan, verify, report, agent-plan, explain, baseline, fix, init, agent, setup."""
+"""Commands: scan, verify, report, agent-plan, explain, baseline, fix, init, agent, setup, mcp."""
 
 from __future__ import annotations
 
@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from codeweir.operators.findings import parse_categories
 from codeweir.plans import reports
 from codeweir.plans.assets import agent_init, doctor
-from codeweir.plans.scan import ScanResult, agent_plan, changed_only, changed_files, empty_raw, exit_code, explain, fix_commands, is_dirty, plan_sources, run_scan
+from codeweir.plans.scan import ScanResult, agent_plan, changed_only, changed_files, exit_code, explain, fix_commands, is_dirty, plan_sources, run_scan
 from codeweir.plans.setup import render_setup, setup_plan
 from codeweir.sources import tools
 from codeweir.sources.config import HOME, load_config, load_policy, read_baseline, write_baseline_file
 from codeweir.sources.files import read_files
 from codeweir.sources.project import detect_project, search_path
+from codeweir.sources.runner import run_tools
 
 RENDER = {"terminal": reports.terminal_report, "json": reports.json_report, "html": reports.html_report, "markdown": reports.markdown_report, "sarif": reports.sarif_report}
 
@@ -28,12 +29,17 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("codeweir").getOrCreate()
 
 
-def raw_outputs(spark: SparkSession, root: str) -> DataFrame:
-    """Outputs that a landing folder holds as JSON lines; none without it. A coverage summary
-    that the project has goes before the outputs of its test runners."""
+def raw_outputs(spark: SparkSession, root: str, planned: list[str] | None = None) -> DataFrame:
+    """Outputs that a landing folder holds as JSON lines; without it, those of the planned tools,
+    which are run. A coverage summary that the project has goes before the outputs of its
+    test runners, which aren't run then."""
     folder, summary = os.path.join(root, HOME, "raw"), os.path.join(root, "coverage", "coverage-summary.json")
-    raw = spark.read.schema(tools.RAW).json(folder) if os.path.isdir(folder) else empty_raw(spark)
-    if not os.path.exists(summary):
+    covered = os.path.exists(summary)
+    if os.path.isdir(folder):
+        raw = spark.read.schema(tools.RAW_RUN).json(folder)
+    else:
+        raw = run_tools(spark, root, [t for t in planned or [] if not (covered and t in ("vitest", "jest"))])
+    if not covered:
         return raw
     return tools.with_existing_coverage(raw, spark.read.text(summary, wholetext=True))
 
@@ -46,7 +52,8 @@ def scanned(spark: SparkSession, root: str, mode: str = "default", only_changed:
         changed = [(p,) for p in changed_files(root)]
         files = changed_only(files, spark.createDataFrame(changed, "path string"))
     base = read_baseline(spark, os.path.join(root, config.baseline.file)) if config.baseline.enabled else None
-    return run_scan(files, raw_outputs(spark, root), config, project, base, mode, root, load_policy(root)), config
+    planned = plan_sources(project.languages, project.lockfiles, project.framework_hints, project.test_commands, config, mode)
+    return run_scan(files, raw_outputs(spark, root, planned), config, project, base, mode, root, load_policy(root)), config
 
 
 def write_artifacts(root: str, config, scan: ScanResult) -> None:
@@ -108,7 +115,8 @@ def main(argv: list[str] | None = None) -> int:
     command("baseline", (["action"], {"choices": ["create"]}))
     command("fix", (["--safe"], flag))
     command("init")
-    command("agent", (["action"], {"choices": ["init", "doctor"]}), (["--force"], flag))
+    command("agent", (["action"], {"choices": ["init", "sync", "doctor"]}), (["--force"], flag))
+    command("mcp")
     command("setup", (["--include"], {"default": "recommended"}), (["--apply"], flag))
     a = p.parse_args(argv)
     root = os.path.abspath(a.root)
@@ -116,9 +124,15 @@ def main(argv: list[str] | None = None) -> int:
         print(init(root))
         return 0
     if a.command == "agent":
-        found = agent_init(root, a.force) if a.action == "init" else doctor(root)
+        # sync: the managed files anew, whatever they hold.
+        found = doctor(root) if a.action == "doctor" else agent_init(root, a.force or a.action == "sync")
         print(json.dumps(found, indent=2))
-        return 0 if a.action == "init" or all(found.values()) else 1
+        return 0 if a.action != "doctor" or all(found.values()) else 1
+    if a.command == "mcp":
+        from codeweir.mcp import serve
+
+        serve(root, sys.stdin.buffer, sys.stdout.buffer)
+        return 0
     categories = parse_categories(getattr(a, "category", None))
     spark = session()
     if a.command == "setup":

@@ -19,6 +19,8 @@ from codeweir.operators.findings import EVIDENCE, completed
 from codeweir.sources.files import relative
 
 RAW = "source string, stdout string, stderr string, exit_code int, duration_ms bigint, status string, install_hint string"
+#: Outputs of tools that this engine ran itself.
+RAW_RUN = RAW + ", command string"
 
 
 @dataclass(frozen=True)
@@ -248,6 +250,15 @@ def jest(raw: DataFrame, r: ToolRules) -> DataFrame:
 Parser = Callable[[DataFrame, ToolRules], DataFrame]
 #: Parsers in the order in which findings are put together.
 PARSERS: dict[str, Parser] = {"gitleaks": gitleaks, "osv-scanner": osv_scanner, "semgrep": semgrep, "tsc": tsc, "pyright": pyright, "biome": biome, "ruff": ruff, "deptry": deptry, "knip": knip, "vulture": vulture, "jscpd": jscpd, "lizard": lizard, "radon": radon, "coverage.py": coverage_py, "vitest": vitest, "jest": jest}
+
+
+def register(tool: str, schema: str, parser: Parser) -> None:
+    """Add a tool, or replace one: the schema of its JSON payload and a parser of raw outputs to
+    findings (see rows() and shown()). New tools come last in the report."""
+    PAYLOADS[tool] = schema
+    PARSERS[tool] = parser
+
+
 #: Room for a tool's own places in ord.
 STRIDE = 1 << 56
 
@@ -263,7 +274,7 @@ def with_existing_coverage(raw: DataFrame, summary: DataFrame) -> DataFrame:
     runner = F.explode(F.array(F.lit("vitest"), F.lit("jest"))).alias("source")
     null = F.lit(None)
     found = summary.select(runner, F.col("value").alias("stdout"), F.lit("").alias("stderr"), F.lit(0).alias("exit_code"), F.lit(0).cast("bigint").alias("duration_ms"), F.lit("ok").alias("status"), null.cast("string").alias("install_hint"))
-    return raw.where(~F.col("source").isin("vitest", "jest")).unionByName(found)
+    return raw.where(~F.col("source").isin("vitest", "jest")).unionByName(found, allowMissingColumns=True)
 
 
 # --- statuses ------------------------------------------------------------------------
@@ -279,15 +290,17 @@ def status_message() -> Column:
 
 
 def statuses(raw: DataFrame) -> DataFrame:
-    """id, status, message of tools that ran: some tools' ways of reporting findings by an
-    exit code or a start-up log count as success."""
-    rows = raw.where("status <> 'skipped'").select(F.col("source").alias("id"), "status", status_message().alias("message"))
+    """id, status, message of tools that ran, and the command of those that failed if raw has it:
+    some tools' ways of reporting findings by an exit code or a start-up log count as success."""
+    ran = [F.when(F.col("status").isin("error", "timeout"), F.col("command")).alias("command")] if "command" in raw.columns else []
+    rows = raw.where("status <> 'skipped'").select(F.col("source").alias("id"), "status", status_message().alias("message"), *ran)
     m = F.coalesce("message", F.lit(""))
     quiet = ((F.col("id") == "biome") & m.rlike("(?i)unstable|experimental")) | ((F.col("id") == "vitest") & m.rlike("(?i)Loaded .*vitest@.*coverage-v8"))
     report = (F.col("id") == "knip") & (F.col("status") == "error") & trim(m).startswith("{")
     status = F.when(quiet | report, "ok").otherwise(F.col("status"))
     message = F.when(quiet, None).when(report, "Reported issues (debt surfaced as findings)").otherwise(F.col("message"))
-    return rows.select("id", status.alias("status"), message.alias("message")).orderBy("id")
+    said = [F.when(~quiet, F.col("command")).alias("command")] if ran else []
+    return rows.select("id", status.alias("status"), message.alias("message"), *said).orderBy("id")
 
 
 def skipped(raw: DataFrame) -> DataFrame:
