@@ -69,17 +69,19 @@ def merged(findings: DataFrame) -> DataFrame:
 
     The highest severity and the source that first has it, the highest confidence, any
     autofix flag, the ordered union of tags (a lone row's tags stay as they are), the
-    first evidence, command and instruction there is; all else from the first row. Tags
-    are reduced to distinct ones a key before they are gathered, so a key of any number
-    of rows stays small.
+    first evidence, command and instruction there is; all else from the first row. Rows of
+    one ord (outputs of a tool that landed apart, findings of several files) follow a hash
+    of what they say. Tags are reduced to distinct ones a key before they are gathered, so
+    a key of any number of rows stays small.
     """
-    keyed = with_merge_key(findings)
+    said = [c for c in COLUMNS if c != "ord"]
+    keyed = with_merge_key(findings).withColumn("place", F.struct("ord", F.xxhash64(*said).alias("tie")))
     sev, conf = ranked(F.col("severity"), SEVERITIES), ranked(F.col("confidence"), CONFIDENCES)
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
     rows = keyed.groupBy(*MERGE_KEY).agg(
         F.count(F.lit(1)).alias("n_merged"),
-        F.min_by(F.struct("id", "category", "title", "message", "file", "start_line", "end_line", "is_new", "tags"), "ord").alias("f"),
-        F.max_by("source", F.struct(sev, -F.col("ord"))).alias("source"),
+        F.min_by(F.struct("id", "category", "title", "message", "file", "start_line", "end_line", "is_new", "tags"), "place").alias("f"),
+        F.max_by("source", F.struct(sev, -F.col("ord"), F.bitwise_not("place.tie"))).alias("source"),
         named(F.max(sev), SEVERITIES).alias("severity"),
         named(F.max(conf), CONFIDENCES).alias("confidence"),
         F.bool_or("is_autofixable").alias("is_autofixable"),
@@ -90,8 +92,8 @@ def merged(findings: DataFrame) -> DataFrame:
         F.max("score_impact").alias("score_impact"),
         F.min("ord").alias("ord"),
     )
-    each = keyed.select(*MERGE_KEY, "ord", F.posexplode("tags").alias("at", "tag"))
-    tags = each.groupBy(*MERGE_KEY, "tag").agg(F.min(F.struct("ord", "at")).alias("o")).groupBy(*MERGE_KEY)
+    each = keyed.select(*MERGE_KEY, "place", F.posexplode("tags").alias("at", "tag"))
+    tags = each.groupBy(*MERGE_KEY, "tag").agg(F.min(F.struct("place", "at")).alias("o")).groupBy(*MERGE_KEY)
     tags = tags.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "tag"))), lambda x: x["tag"]).alias("all_tags"))
     joined = rows.join(tags, MERGE_KEY, "left")
     union = F.when(F.col("n_merged") > 1, F.coalesce("all_tags", F.array().cast("array<string>"))).otherwise(F.col("f.tags"))

@@ -125,6 +125,9 @@ def markdown_report(scan: ScanResult) -> str:
     return "\n".join(out) + "\n"
 
 
+STYLE = "body{font:15px sans-serif;margin:2em auto;max-width:60em}.meta{color:#666}.score{font-size:1.5em}.pill{background:#eee;border-radius:1em;margin-right:.5em;padding:.2em .7em}"
+
+
 def html_report(scan: ScanResult) -> str:
     esc = lambda s: html.escape(str(s), quote=False)
     colours = {"critical": "#b91c1c", "high": "#dc2626", "medium": "#d97706"}
@@ -141,10 +144,11 @@ def html_report(scan: ScanResult) -> str:
         return f"<h3>{title}</h3><ul>{''.join(items)}</ul>" if items else ""
 
     known = status_dicts(scan.statuses)
-    numbers = "".join(f'<span class="pill">{k}: {v}</span>' for k, v in counts(scan).items())
+    short = {"Dead code candidates": "Dead chains", "Refactor candidates": "Refactor"}
+    numbers = "".join(f'<span class="pill">{short.get(k, k)}: {v}</span>' for k, v in counts(scan).items())
     body = [
         f"<h1>{TITLE} Health Report</h1>",
-        f'<div class="meta">Root: <code>{esc(scan.root)}</code> &middot; Mode: {scan.mode}</div>',
+        f'<div class="meta">Root: <code>{esc(scan.root)}</code> &middot; Mode: {scan.mode} &middot; Generated for agents &amp; humans</div>',
         f'<div class="score">Health: {scan.overall}/100 {"✅" if scan.overall >= 85 else "⚠️"}</div><div class="summary">{numbers}</div>',
         listed("BLOCKERS", streamed(scan.blockers)),
         listed("FIX NEXT", scan.fix_next.collect()),
@@ -153,7 +157,7 @@ def html_report(scan: ScanResult) -> str:
         tool_list("Skipped Tools", status_dicts(scan.skipped)),
         tool_list("Errored / Timed Out Tools", [s for s in known if s["status"] in ("error", "timeout")]),
     ]
-    return f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{TITLE} Report — {esc(scan.root)}</title></head>\n<body>\n' + "\n".join(x for x in body if x) + "\n</body></html>\n"
+    return f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{TITLE} Report — {esc(scan.root)}</title><style>{STYLE}</style></head>\n<body>\n' + "\n".join(x for x in body if x) + "\n</body></html>\n"
 
 
 def agent_markdown(plan: dict) -> str:

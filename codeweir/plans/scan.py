@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweir.functions.text import matches_globs
+from codeweir.functions.text import matches_globs, trim
 from codeweir.operators import findings as fx
 from codeweir.operators.dead_chain import dead_chains
 from codeweir.operators.graph import cut
@@ -186,7 +186,7 @@ def forbidden_actions(p: Policy) -> list[str]:
 
 
 def distinct_texts(*cols: Column) -> Column:
-    texts = F.transform(F.array_compact(F.array(*cols)), lambda s: F.trim(s))
+    texts = F.transform(F.array_compact(F.array(*cols)), lambda s: trim(s))
     return F.array_distinct(F.filter(texts, lambda s: s != ""))
 
 

@@ -31,8 +31,16 @@ def pruned(path: Column, globs: list[str]) -> Column:
 
 
 def relative(path: Column, root: str) -> Column:
-    """A path below root, without it; others as they are. Null and empty: null."""
-    return F.when(F.length(path) > 0, F.regexp_replace(path, f"^{re.escape(root.rstrip('/'))}/", ""))
+    """A path as it is seen from root: without it below, by steps up beside or above. Paths that
+    don't begin with a slash stay as they are. Null and empty: null."""
+    parts = root.rstrip("/").split("/")
+    seen = path
+    for up in range(len(parts) - 1, -1, -1) if root.startswith("/") else [0]:
+        above = "/".join(parts[: len(parts) - up]) + "/"
+        inside = F.concat(path, F.lit("/")).startswith(above)
+        rest = F.concat(F.lit("../" * up), F.substring(path, F.lit(len(above) + 1), F.length(path)))
+        seen = F.when(inside, F.regexp_replace(rest, "/$", "")).otherwise(seen)
+    return F.when(F.length(path) > 0, seen)
 
 
 def read_files(spark: SparkSession, root: str, excludes: list[str] | None = None) -> DataFrame:
