@@ -221,11 +221,6 @@ def overall_score(spark, sf_dir):
     return fx.overall_score(flagged_findings(spark, sf_dir))
 
 
-@query("category_filter_rescore", f"{FINDINGS_CTE.replace('scored.category = dim.category', 'scored.category = dim.category AND scored.category = ' + chr(39) + 'leftovers' + chr(39) + ' AND scored.ord % 50 = 0')} SELECT {OVERALL} AS overall")
-def category_filter_rescore(spark, sf_dir):
-    return fx.overall_score(fx.in_categories(flagged_findings(spark, sf_dir), ["leftovers"]).where("ord % 50 = 0"))
-
-
 # All findings of the category. The penalty is given too, as the score of many findings is 0 whatever is left out.
 @query("category_rescore_all", f"{FINDINGS_CTE.replace('scored.category = dim.category', 'scored.category = dim.category AND scored.category = ' + chr(39) + 'leftovers' + chr(39))} SELECT {OVERALL} AS overall, (SELECT penalty_cents FROM cats WHERE category = 'leftovers') AS penalty_cents")
 def category_rescore_all(spark, sf_dir):
@@ -467,12 +462,6 @@ def reachability_part(spark, sf_dir):
     return reachable(edges, spark.createDataFrame([(1,), (3,)], "path bigint"))
 
 
-@query("dead_components_part", f"WITH RECURSIVE {PART_EDGES}, n AS (SELECT p_partkey AS path FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT src, dst FROM e WHERE src IN (SELECT path FROM n) AND dst IN (SELECT path FROM n) UNION SELECT dst, src FROM e WHERE src IN (SELECT path FROM n) AND dst IN (SELECT path FROM n)), r(path, reach) AS (SELECT path, path FROM n UNION SELECT r.path, b.dst FROM r JOIN b ON b.src = r.reach) SELECT path, min(reach) AS component FROM r GROUP BY path")
-def dead_components_part(spark, sf_dir):
-    keys, edges = part_graph(spark, sf_dir)
-    return weak_components(keys.where("path % 3 <> 0"), edges)
-
-
 # The nodes that nothing reaches from the seeds, as in dead chains.
 @query("unreached_components_part", f"WITH RECURSIVE {PART_EDGES}, alive AS (SELECT 1::BIGINT AS path UNION SELECT 3::BIGINT UNION SELECT e.dst FROM alive JOIN e ON e.src = alive.path), n AS (SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT path FROM alive)), b AS (SELECT src, dst FROM e WHERE src IN (SELECT path FROM n) AND dst IN (SELECT path FROM n) UNION SELECT dst, src FROM e WHERE src IN (SELECT path FROM n) AND dst IN (SELECT path FROM n)), r(path, reach) AS (SELECT path, path FROM n UNION SELECT r.path, b.dst FROM r JOIN b ON b.src = r.reach) SELECT path, min(reach) AS component FROM r GROUP BY path")
 def unreached_components_part(spark, sf_dir):
@@ -551,12 +540,11 @@ def changed_file_semijoin(spark, sf_dir):
     return plans.changed_only(fixed.files(spark, fixed.FILES), changed).select("path")
 
 
-@query("corpus_health", None)
-def corpus_health(spark, sf_dir):
-    """The flagship: documents as text files, vocabulary matches as findings, merged, scored."""
-    found = doc_findings(spark, sf_dir)
-    cats = fx.category_scores(fx.merged(found)).where("penalty_cents > 0 or category = 'leftovers'")
-    return cats.select("category", "penalty_cents", "score_cents")
+@query("corpus_scores", None)
+def corpus_scores(spark, sf_dir):
+    """The flagship: documents as text files, vocabulary matches as findings, merged, scored in
+    all categories."""
+    return fx.category_scores(fx.merged(doc_findings(spark, sf_dir))).select("category", "penalty_cents", "score_cents")
 
 
 def doc_findings(spark, sf_dir) -> DataFrame:
@@ -581,4 +569,6 @@ def doc_findings(spark, sf_dir) -> DataFrame:
     )
 
 
-SQL["corpus_health"] = rf"WITH {DOC_LINES}, v AS (SELECT * FROM {fixed.values(VOCAB_ROWS, 'grp, pattern')}), m AS (SELECT DISTINCT doc_id, line_no, grp, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS msg FROM doc_lines JOIN v ON contains(lower(line), pattern)), p AS (SELECT CASE grp WHEN 'secret' THEN 'security' ELSE 'leftovers' END AS category, CAST(sum(CASE grp WHEN 'secret' THEN 1620 ELSE 216 END) AS BIGINT) AS penalty_cents FROM m GROUP BY 1) SELECT d.category, coalesce(penalty_cents, 0) AS penalty_cents, CAST(greatest(0, 10000 - coalesce(penalty_cents, 0)) AS BIGINT) AS score_cents FROM (VALUES ('security'), ('leftovers')) d(category) LEFT JOIN p ON p.category = d.category WHERE penalty_cents > 0 OR d.category = 'leftovers'"
+SQL["corpus_scores"] = rf"WITH {DOC_LINES}, v AS (SELECT * FROM {fixed.values(VOCAB_ROWS, 'grp, pattern')}), m AS (SELECT DISTINCT doc_id, line_no, grp, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS msg FROM doc_lines JOIN v ON contains(lower(line), pattern)), p AS (SELECT CASE grp WHEN 'secret' THEN 'security' ELSE 'leftovers' END AS category, CAST(sum(CASE grp WHEN 'secret' THEN 1620 ELSE 216 END) AS BIGINT) AS penalty_cents FROM m GROUP BY 1) SELECT d.category, coalesce(penalty_cents, 0) AS penalty_cents, CAST(greatest(0, 10000 - coalesce(penalty_cents, 0)) AS BIGINT) AS score_cents FROM (VALUES ('security'), ('correctness'), ('dead_code'), ('leftovers'), ('maintainability'), ('dependencies'), ('tests'), ('efficiency'), ('refactor_readiness')) d(category) LEFT JOIN p ON p.category = d.category"
+
+from codeweir import edge_queries  # noqa: E402, F401  registers its own
