@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweir.llm.common import fresh_path, table
+from codeweir.llm.common import bounded_batches, checked_broadcast, fresh_path, table, written
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,8 @@ MORE = (
     Rule("forge_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
+#: Blobs with findings that are broadcast, at most, and their bytes.
+MAX_BROADCAST, MAX_BROADCAST_BYTES = 500_000, 32 << 20
 SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -64,7 +66,8 @@ class BlobLedger:
     Each ingest appends one batch: blob, rules (keys scanned), spans. A batch
     becomes visible when its write commits; a repeated ingest finds its pairs there
     and scans nothing. Null content counts as empty; every distinct blob, the empty
-    one too, has its row.
+    one too, has its row. Ingests that overlap may both scan a pair; its spans count once.
+    Whole contents are scanned, however long; an empty table adds and finds nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str, rules: tuple[Rule, ...] = BASE + MORE):
@@ -79,14 +82,12 @@ class BlobLedger:
         done = [str(x.getPath()) for x in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{x.getPath()}/_SUCCESS"))]
         return self.spark.read.schema(f"blob string, rules array<string>, spans {SPAN}").parquet(*done) if done else None
 
-    @staticmethod
-    def addressed(versions: DataFrame, content: str) -> DataFrame:
-        return versions.withColumn("__blob", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
-
     def ingest(self, versions: DataFrame, content: str = "text") -> None:
         """Scan the (blob, rule version) pairs of versions that the ledger lacks."""
         keys = F.array(*(F.lit(r.key) for r in self.rules))
-        blobs = self.addressed(versions.select(content), content).groupBy("__blob").agg(F.first(F.coalesce(F.col(content), F.lit(""))).alias("__content"))
+        bounded_batches(self.spark)
+        text = F.coalesce(F.col(content), F.lit(""))
+        blobs = versions.select(F.sha2(text, 256).alias("__blob"), text.alias("__content")).groupBy("__blob").agg(F.first("__content").alias("__content"))
         stored = self._stored()
         if stored is None:
             todo = blobs.withColumn("__todo", keys)
@@ -114,16 +115,21 @@ class BlobLedger:
         empty = self.spark.createDataFrame([], f"blob string, rules array<string>, spans {SPAN}")
         keys = F.create_map(*(F.lit(x) for r in self.rules for x in (r.kind, r.key)))
         current = (stored if stored is not None else empty).withColumn("spans", F.filter("spans", lambda s: F.array_contains("rules", keys[s["kind"]])))
-        merged = current.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        merged = current.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
         ranked = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
         return merged.select("blob", ranked.alias("spans"))
 
     def joined(self, versions: DataFrame, content: str = "text") -> DataFrame:
-        """versions with the spans of each row's blob. Only blobs with findings join
-        by hash; all others get an empty list."""
-        rows = self.addressed(versions, content).drop(content)
-        hits = self.findings().where(F.size("spans") > 0).withColumnRenamed("blob", "__hit")
-        return rows.join(hits.withColumnRenamed("spans", "secret_spans"), F.col("__blob") == F.col("__hit"), "left").drop("__blob", "__hit")
+        """versions without the content, with secret_spans: the spans of each row's blob, null if
+        it has none. Rows that repeat, and null contents, have their blob's. versions may have
+        any columns but secret_spans, which is replaced. Blobs with findings are broadcast
+        while they are few; beyond that the join is an equi-join, whose large keys adaptive
+        execution splits."""
+        kept = [c for c in versions.columns if c not in (content, "secret_spans")]
+        rows = versions.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("__blob"))
+        hits = self.findings().where(F.size("spans") > 0).select(F.col("blob").alias("__hit"), F.col("spans").alias("secret_spans"))
+        hits = checked_broadcast(written(hits, "secret-hits"), MAX_BROADCAST, MAX_BROADCAST_BYTES)
+        return rows.join(hits, F.col("__blob") == F.col("__hit"), "left").select("__row.*", "secret_spans")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
