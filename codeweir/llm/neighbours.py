@@ -1,9 +1,11 @@
 """Nearest neighbours as a block matrix join with int8 tiles and error bounds.
 
-Vectors are quantised to int8 with a scale each. A tile multiplies a block of queries by
-a block of rows in integers; the result is off by at most a known bound, so every row
-whose upper bound reaches the k-th largest lower bound survives and is recomputed in
-double precision. Tiles give k rows a query, and heaps merge them. The result is exact.
+Vectors are scaled by a power of two and quantised to int8. What is sent to the tiles are
+these bytes, with each vector's scale, length and rounding error. A tile multiplies a
+block of queries by a block of rows; the product is off by at most a known bound, so
+every row whose upper bound reaches the k-th largest lower bound survives. Survivors of
+all tiles are cut once more by the bounds of all, and only what is left is joined to the
+original vectors, recomputed in double precision and merged by heaps. The result is exact.
 """
 
 from __future__ import annotations
@@ -14,52 +16,76 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from codeweir.llm.common import table, written
+from codeweir.llm.common import removed, table, written
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+#: What scaled numbers are kept to, so that a product of two and a sum of their exponents
+#: is a double: beyond it, bounds say nothing and the pair survives.
+_FAR = 900
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 rows, their scales, and the lengths of what rounding took off."""
+def quantised(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """int8 rows; their power of two; and, for rows divided by it (largest component in 0.5 to 1):
+    scale, length and the length of what rounding took off."""
+    power = np.frexp(np.abs(x).max(1))[1].astype(np.int64)
+    x = np.ldexp(np.ldexp(x, (-power // 2)[:, None]), (-power - (-power // 2))[:, None])
     scale = np.abs(x).max(1) / 127.0
     q = np.rint(x / scale[:, None])
-    return q.astype(np.int8), scale, np.sqrt(((x - q * scale[:, None]) ** 2).sum(1))
+    return q.astype(np.int8), power, scale, np.sqrt((x * x).sum(1)), np.sqrt(((x - q * scale[:, None]) ** 2).sum(1))
 
 
-def tile_top(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """(query id, row id, score) of each query's k best rows of a tile.
+def tile_bounds(queries, rows) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products of queries and rows (as quantised() gives
+    them), each in units of two to the power of its query's exponent plus _top(rows).
 
-    For q = q' + a and x = x' + b: |q.x - q'.x'| <= |a||x| + |q'||b|.
+    For q = q' + a and x = x' + b: |q.x - q'.x'| <= |a||x| + |q'||b|. Doubles add up to what a
+    plain loop over the components makes of them, its rounding and underflow included; where
+    that loop may overflow, nothing is known.
     """
-    q8, qs, qe = quantised(queries)
-    x8, xs, xe = quantised(rows)
-    approx = (q8.astype(np.float32) @ x8.astype(np.float32).T).astype(np.float64)  # whole numbers below 2**24: exact up to 1040 dimensions
+    q8, qp, qs, ql, qe = queries
+    x8, xp, xs, xl, xe = rows
+    dim = q8.shape[1]
+    # Sums of products of two numbers below 128, in runs that are exact in 24 bits.
+    approx = np.zeros((len(q8), len(x8)))
+    for d in range(0, dim, 1024):
+        approx += q8[:, d : d + 1024].astype(np.float32) @ x8[:, d : d + 1024].astype(np.float32).T
     approx *= qs[:, None]
     approx *= xs[None, :]
-    q_len = np.sqrt(((q8 * qs[:, None]) ** 2).sum(1))
-    off = (qe[:, None] * np.sqrt((rows**2).sum(1))[None, :] + q_len[:, None] * xe[None, :]) * (1 + 1e-9) + 1e-300
-    if q8.shape[1] > 1040:
-        off += np.abs(approx) * 1e-4 + qs[:, None] * xs[None, :] * q8.shape[1]
-    low, out_q, out_x, out_s = approx - off, [], [], []
-    other = qids[:, None] != ids[None, :]
-    low[~other] = -np.inf
-    for i in range(len(queries)):
-        n = int(other[i].sum())
-        if not n:
+    off = qe[:, None] * xl[None, :] + (ql + qe)[:, None] * xe[None, :]
+    off = off * (1 + 1e-9) + (ql[:, None] * xl[None, :]) * (dim * 1e-15)
+    down = np.maximum(xp - xp.max(), -_FAR)
+    exponent = qp[:, None] + xp.max()
+    with np.errstate(over="ignore"):
+        low = np.ldexp(approx - off, down[None, :])
+        high = np.ldexp(approx + off, down[None, :])
+        slack = np.where(exponent < -_FAR, np.inf, 1e-270 * dim)
+    unknown = (qp[:, None] + xp[None, :] > _FAR) | ~np.isfinite(low) | ~np.isfinite(high)
+    return np.where(unknown, -np.inf, low - slack), np.where(unknown, np.inf, high + slack)
+
+
+def tile_survivors(queries, qids: np.ndarray, rows, ids: np.ndarray, k: int):
+    """(query id, row id, lower bound, upper bound, exponent of the bounds) of each query's rows in
+    a tile that may be among its k best."""
+    low, high = tile_bounds(queries, rows)
+    exponent = queries[1] + rows[1].max()
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]]
+    for i in range(len(qids)):
+        other = np.flatnonzero(ids != qids[i])
+        if not len(other):
             continue
-        floor = np.partition(low[i], len(ids) - min(k, n))[len(ids) - min(k, n)]
-        at = np.flatnonzero((approx[i] + off[i] >= floor) & other[i])
-        score = np.zeros(len(at))
-        for d in range(queries.shape[1]):  # in the order of components, as a plain loop adds them
-            score += queries[i, d] * rows[at, d]
-        best = np.lexsort((ids[at], -score))[:k]
-        out_q.append(np.full(len(best), qids[i]))
-        out_x.append(ids[at][best])
-        out_s.append(score[best])
-    if not out_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_s)
+        at = min(k, len(other))
+        floor = np.partition(low[i, other], len(other) - at)[len(other) - at]
+        some = other[high[i, other] >= floor]
+        for c, x in zip(out, (np.full(len(some), qids[i]), ids[some], low[i, some], high[i, some], np.full(len(some), exponent[i]))):
+            c.append(x)
+    return [np.concatenate(c) for c in out]
+
+
+def rank_key(score: float) -> tuple[bool, float]:
+    """Largest first, as SQL's descending order has it: NaN (of infinities that cancel) before all."""
+    return (score != score, 0.0 if score != score else score)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -75,53 +101,124 @@ def matrix(col) -> np.ndarray:
     return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(arr), -1)
 
 
+CODES = "id long, dim int, codes binary, power long, scale double, len double, err double"
+BOUNDS = "query_id long, id long, low double, high double, exponent long"
+
+
+def encoded(batches):
+    for b in batches:
+        sizes, ids = b.column("dim").to_numpy(), b.column("id")
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            x = matrix(b.column("v").take(pa.array(at)))
+            q8, power, *rest = quantised(x)
+            raw = pa.array([r.tobytes() for r in q8], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sizes[at]), raw, pa.array(power), *map(pa.array, rest)], names=["id", "dim", "codes", "power", "scale", "len", "err"])
+
+
+def _codes(t: pa.Table):
+    codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.int8).reshape(len(t), -1)
+    return (codes, *(t[c].to_numpy() for c in ("power", "scale", "len", "err")))
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """query_id, rank, id, score: for each row whose id is divisible by every, the k other
     rows of the same dimension with the largest inner product, ties to smaller ids.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without an id, take no part. Rows that repeat an id are one vector's rows: none is
-    another's neighbour, each other query lists every one of them. An empty table gives
-    an empty result. Extra columns are ignored.
+    another's neighbour, each other query lists every one of them. The score is the sum in
+    doubles over the components in order, whatever their size: where it overflows it is
+    infinite, or NaN, which comes first. An empty table gives an empty result. Extra
+    columns are ignored.
     """
-    rows = written(usable(vectors, id_col, vec_col), "ann-vectors").withColumn("dim", F.size("v"))
+    spark = vectors.sparkSession
+    rows = written(usable(vectors, id_col, vec_col).withColumn("dim", F.size("v")), "ann-vectors")
     is_query = F.col("id") % every == 0
     n, m = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     row_blocks, query_blocks = max(1, -(-n // row_block)), max(1, -(-m // query_block))
     block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
     others = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    data = rows.select("id", "v", "dim", block(row_blocks).alias("rb"), others(query_blocks).alias("qb"))
-    asked = rows.where(is_query).select("id", "v", "dim", block(query_blocks).alias("qb"), others(row_blocks).alias("rb"))
+    codes = written(rows.mapInArrow(encoded, CODES), "ann-codes")
+    data = codes.select("*", block(row_blocks).alias("rb"), others(query_blocks).alias("qb"))
+    # Of rows that repeat a query's id, the first by its bytes asks.
+    first = Window.partitionBy("id").orderBy("codes", "power", "scale", "err")
+    asked = codes.where(is_query).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    asked = asked.select("*", block(query_blocks).alias("qb"), others(row_blocks).alias("rb"))
     by = ("dim", "qb", "rb")
 
-    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = tile_top(matrix(left["v"]), left["id"].to_numpy(), matrix(right["v"]), right["id"].to_numpy(), k) if len(left) and len(right) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table(dict(zip(("query_id", "id", "score"), map(pa.array, found))))
-
     def tiles(left: pa.Table, right: pa.Table) -> pa.Table:
-        # Repeated query ids would answer twice.
-        if len(left):
-            _, first = np.unique(left["id"].to_numpy(), return_index=True)
-            left = left.take(pa.array(first))
-        return tile(left, right)
+        names = ("query_id", "id", "low", "high", "exponent")
+        if not len(left) or not len(right):
+            return pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))})
+        found = tile_survivors(_codes(left), left["id"].to_numpy(), _codes(right), right["id"].to_numpy(), k)
+        return pa.table(dict(zip(names, map(pa.array, found))))
+
+    found = asked.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(tiles, BOUNDS)
+
+    def cut(batches):
+        """A query's survivors of all tiles, sorted by query: those that reach its k-th best lower
+        bound. Rows that repeat an id count once each."""
+        at, held = None, []
+
+        def close():
+            q = [np.array(c) for c in zip(*held)]
+            top = q[4].max()
+            down = np.maximum(q[4] - top, -4000).astype(np.int64)
+            low, high = np.ldexp(q[2], down), np.ldexp(q[3], down)
+            high = np.where((q[3] > 0) & (high == 0), 5e-324, high)
+            floor = np.partition(low, len(low) - min(k, len(low)))[len(low) - min(k, len(low))]
+            return np.unique(q[1][high >= floor].astype(np.int64))
 
-    found = asked.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(tiles, "query_id long, id long, score double")
+        for b in batches:
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+            for r in zip(*(b.column(c).to_pylist() for c in ("query_id", "id", "low", "high", "exponent"))):
+                if at is not None and at != r[0]:
+                    ids = close()
+                    out[0].append(np.full(len(ids), at))
+                    out[1].append(ids)
+                    held = []
+                at = r[0]
+                held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "id"])
+        if held:
+            ids = close()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), at)), pa.array(ids)], names=["query_id", "id"])
+
+    left = written(found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(cut, "query_id long, id long"), "ann-left")
+    queries = rows.where(is_query).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("v"))).where("nth = 1")
+    queries = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    near = rows.select(F.col("id").alias("x_id"), F.col("v").alias("x"), F.col("dim").alias("x_dim")).join(left, F.col("x_id") == F.col("id"))
+    near = near.join(queries, "query_id").where(F.col("x_dim") == F.size("q")).select("query_id", "id", "q", "x")
 
     def merged(batches):
         heaps: dict[int, list] = {}
         for b in batches:
-            for q, x, s in zip(*(b.column(c).to_pylist() for c in ("query_id", "id", "score"))):
-                heap = heaps.setdefault(q, [])
+            qs, xs = b.column("q"), b.column("x")
+            sizes = np.diff(xs.offsets.to_numpy())
+            score = np.zeros(b.num_rows)
+            for dim in np.unique(sizes):
+                at = pa.array(np.flatnonzero(sizes == dim))
+                q, x = matrix(qs.take(at)), matrix(xs.take(at))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    total = np.zeros(len(at))
+                    for d in range(dim):  # in the order of components, as a plain loop adds them
+                        total += q[:, d] * x[:, d]
+                score[at.to_numpy()] = total
+            for q, x, s in zip(b.column("query_id").to_pylist(), b.column("id").to_pylist(), score.tolist()):
+                heap, entry = heaps.setdefault(q, []), (rank_key(s), -x, s)
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -x))
-                elif (s, -x) > heap[0]:
-                    heapq.heapreplace(heap, (s, -x))
-        out = [(q, r, -x, s) for q, heap in heaps.items() for r, (s, x) in enumerate(sorted(heap, reverse=True), 1)]
+                    heapq.heappush(heap, entry)
+                elif entry[:2] > heap[0][:2]:
+                    heapq.heapreplace(heap, entry)
+        out = [(q, r, -x, s) for q, heap in heaps.items() for r, (_, x, s) in enumerate(sorted(heap, key=lambda e: e[:2], reverse=True), 1)]
         if out:
             q, r, x, s = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.int32()), pa.array(x, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "rank", id_col, "score"])
 
-    return found.repartition("query_id").mapInArrow(merged, f"query_id long, rank int, `{id_col}` long, score double")
+    out = written(near.repartition("query_id").mapInArrow(merged, f"query_id long, rank int, `{id_col}` long, score double"), "ann-rows")
+    removed(spark, [rows, codes, left])
+    return out
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
