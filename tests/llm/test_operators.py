@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeweir.llm import chat, exact_dedup, lm_scoring, mixing, neighbours, ngram_join, packing, secrets, token_counts, toxicity
-from codeweir.llm.common import SPACE, fresh_path, text_buffers, word_hashes
+from codeweir.llm.common import SPACE, fresh_path, text_buffers, word_hashes, written
 from codeweir.llm.components import components
 from codeweir.llm.signature_tree import SignatureTree, bitmap, width
 from codeweir.llm.tokens import default_vocabulary, encoder
@@ -86,14 +86,35 @@ def test_join_equals_brute_force(spark, k, percent, monkeypatch):
     assert got == brute_links(rows, k, percent)
 
 
-def test_join_second_round_alone_finds_all(spark, monkeypatch):
-    """Without the first round's links, the prefix filter and its trees still give every one."""
-    monkeypatch.setattr(ngram_join, "first_round", lambda d, *a: d.sparkSession.createDataFrame([], "a long, b long"))
+def test_join_third_step_alone_finds_all(spark, monkeypatch):
+    """Without the first steps' links, the prefix filter and its trees still give every one."""
+    monkeypatch.setattr(ngram_join, "first_steps", lambda d, classes, *a: written(classes.select("cid", F.col("cid").alias("comp")), "t"))
     rows = near_copies(11, 3, 14)
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs(spark, rows), words=4, percent=85).collect()}
     assert got == brute_links(rows, 4, 85)
 
 
+def test_join_of_a_family_about_the_threshold(spark, monkeypatch):
+    """Copies of one text, of which some link and many almost do: no link is left out."""
+    monkeypatch.setattr(ngram_join, "GROUP_ENTRIES", 60)
+    rng = random.Random(21)
+    for size, edits in ((150, 3), (90, 4)):
+        base = [f"b{rng.randint(0, 5000)}" for _ in range(size)]
+        rows = []
+        for i in range(110):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 99999)}"
+            rows.append((i * 13 % 997, " ".join(w)))
+        want = brute_links(rows, 4, 85)
+        assert 1 < len(set(want.values())) < len(rows)
+        for steps in (True, False):
+            if not steps:
+                monkeypatch.setattr(ngram_join, "first_steps", lambda d, classes, *a: written(classes.select("cid", F.col("cid").alias("comp")), "t"))
+            assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs(spark, rows), words=4, percent=85).collect()} == want
+        monkeypatch.undo()
+
+
 def test_join_of_nulls_repeats_and_nothing(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v"), (9, "q r s t u v"), (7, "a b c d e f")]
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, rows)).collect() if r["doc_id"])
@@ -161,6 +182,14 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert len(added) == 5 and {r["rules"][0] for r in added} == {"hex@2"}
     kinds = Counter(s["kind"] for r in second.findings().collect() for s in r["spans"])
     assert kinds["hex"] == 1 and kinds["access"] == 2
+    twice = secrets.BlobLedger(spark, fresh_path(spark, "t"))
+    alike = secrets.BlobLedger(spark, twice.root)
+    alike._stored = lambda: None  # began before the other ended
+    twice.ingest(table)
+    alike.ingest(table)
+    assert sum(len(r["spans"]) for r in twice.findings().collect()) == len({tuple(x) for t in {t or "" for _, t in SECRETS} for x in ((t, *s) for s in secrets.scan(t, twice.rules))})
+    clash = spark.createDataFrame([(1, SECRETS[0][1], "mine", "theirs")], "__hit long, text string, __blob string, secret_spans string")
+    assert twice.joined(clash).columns == ["__hit", "__blob", "secret_spans"] and len(twice.joined(clash).first()["secret_spans"]) == 2
     assert secrets.BlobLedger(spark, fresh_path(spark, "t")).joined(table.where("false").select("doc_id", "text")).count() == 0
 
 
@@ -260,10 +289,8 @@ def pour(children, budget):
 
 
 def brute_mix(spark, rows, mix):
-    """Ids that one epoch of the mix takes of (id, text, language, source); only the hash of the
-    order is Spark's."""
-    ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
-    order = {r["doc_id"]: r["h"] % 2**64 for r in ids.select("doc_id", F.xxhash64(F.lit(mix.seed), F.lit(0), "doc_id").alias("h")).collect()}
+    """Ids that one epoch of the mix takes of (id, text, language, source)."""
+    order = {r[0]: int(hashlib.sha256(f"{mix.seed}:0:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:15], 16) for r in rows}
     tree = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
     for i, t, lang, src in rows:
         tree[mix.domain_of.get(src, "other")][lang or "(none)"][src or "(none)"].append((order[i], i, len(words_of(t))))
@@ -307,8 +334,6 @@ def test_budgets_and_selection_equal_brute_force(spark):
             spans = sorted((r["start"], r["start"] + r["tokens"]) for r in taken if r["epoch"] == e and r["tokens"])
             assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert mixing.select_mix(docs(spark, rows).where("false"), mix, mixing.words()).count() == 0
-    kept = mixing.mixed(docs(spark, rows), mixing.Mix(share=1.0))
-    assert kept.count() == sum(1 for r in rows if r[1]) + sum(1 for r in rows if not r[1] and False) or kept.count() <= 300
     for whole in (mixing.Mix(share=1.0), mixing.Mix(share=0.5)):
         ids = [r["doc_id"] for r in mixing.mixed(docs(spark, rows), whole).collect()]
         assert sorted(ids) == sorted(brute_mix(spark, rows, whole))
@@ -395,6 +420,30 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324, 1e300, None])
+def test_neighbours_of_extreme_doubles(spark, size):
+    """Products that overflow, vanish or are of many sizes: all candidates are weighed by the score
+    that a plain loop gives."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(50, 4))
+    v = np.rint(v * 9) * size if size == 5e-324 else v * (size or 1.0)
+    if size is None:
+        v *= 10.0 ** rng.integers(-300, 140, (50, 1))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=10, query_block=2, row_block=9).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    use = [i for i, x in rows if any(x)]
+    for q in [i for i in use if i % 10 == 0]:
+        s = []
+        for x in use:
+            total = 0.0
+            for a, b in zip(rows[q][1], rows[x][1]):
+                total += a * b
+            s += [(total != total, 0.0 if total != total else total, -x)] if x != q else []
+        assert got[q] == [-x for *_, x in sorted(s, reverse=True)[:5]]
+
+
 # --- 9 -----------------------------------------------------------------------------
 
 
