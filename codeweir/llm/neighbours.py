@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from codeweir.llm.common import removed, table, written
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+#: Queries of a tile whose bounds are held at once.
+QUERY_RUN = 64
 #: What scaled numbers are kept to, so that a product of two and a sum of their exponents
 #: is a double: beyond it, bounds say nothing and the pair survives.
 _FAR = 900
@@ -68,17 +70,16 @@ def tile_bounds(queries, rows) -> tuple[np.ndarray, np.ndarray]:
 def tile_survivors(queries, qids: np.ndarray, rows, ids: np.ndarray, k: int):
     """(query id, row id, lower bound, upper bound, exponent of the bounds) of each query's rows in
     a tile that may be among its k best."""
-    low, high = tile_bounds(queries, rows)
-    exponent = queries[1] + rows[1].max()
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]]
-    for i in range(len(qids)):
-        other = np.flatnonzero(ids != qids[i])
-        if not len(other):
-            continue
-        at = min(k, len(other))
-        floor = np.partition(low[i, other], len(other) - at)[len(other) - at]
-        some = other[high[i, other] >= floor]
-        for c, x in zip(out, (np.full(len(some), qids[i]), ids[some], low[i, some], high[i, some], np.full(len(some), exponent[i]))):
+    for a in range(0, len(qids), QUERY_RUN):
+        run = slice(a, a + QUERY_RUN)
+        part = tuple(x[run] for x in queries)
+        low, high = tile_bounds(part, rows)
+        own = qids[run, None] == ids[None, :]
+        low[own] = -np.inf
+        floor = np.partition(low, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))]
+        i, j = np.nonzero((high >= floor[:, None]) & ~own)
+        for c, x in zip(out, (qids[run][i], ids[j], low[i, j], high[i, j], part[1][i] + rows[1].max())):
             c.append(x)
     return [np.concatenate(c) for c in out]
 
