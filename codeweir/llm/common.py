@@ -133,46 +133,51 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _codes(lower: bool) -> np.ndarray:
-    """A random 64-bit number for each place in a piece and byte."""
-    codes = mix(np.arange(1, PIECE * 256 + 1, dtype=np.uint64)).reshape(PIECE, 256)
-    if lower:
-        codes[:, 65:91] = codes[:, 97:123]
-    return codes.ravel()
-
-
-_CODES = {x: _codes(x) for x in (False, True)}
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[32, 9, 10, 11, 12, 13]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _PIECE_STEP, _LENGTH_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
+#: The first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def _hashed(letters: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hashes of words whose letters follow one another: sums of the numbers of place and byte.
-    Nothing is a power of a base, so no repeating letters cancel out."""
-    start = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(start, lengths)
-    numbers = codes[((place & (PIECE - 1)) << 8) | letters]
-    if not len(lengths):
+def _hashed(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words of data, eight bytes after another mixed in: nothing is a power of a
+    base, so no repeating letters cancel out."""
+    if not len(start):
         return np.zeros(0, np.uint64)
-    if lengths.max() <= PIECE:
-        h = np.add.reduceat(numbers, start)
-    else:
-        pieces = -(-lengths // PIECE)
+    several = length.max() > PIECE
+    if several:
+        pieces = -(-length // PIECE)
         head = np.cumsum(pieces) - pieces
         nth = np.arange(int(pieces.sum())) - np.repeat(head, pieces)
-        part = np.add.reduceat(numbers, np.repeat(start, pieces) + nth * PIECE)
-        later = nth > 0
-        part[later] = mix(part[later] + nth[later].astype(np.uint64) * _PIECE_STEP)
-        h = np.add.reduceat(part, head)
-    return mix(h + lengths.astype(np.uint64) * _LENGTH_STEP)
+        whole, start = length, np.repeat(start, pieces) + nth * PIECE
+        length = np.minimum(np.repeat(length, pieces) - nth * PIECE, PIECE)
+    raw = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))
+    h, live, at = length.astype(np.uint64) * _LENGTH_STEP, slice(None), 0
+    while True:
+        left = length[live] - at
+        h[live] = mix(h[live] ^ (eight[start[live] + at] & _FIRST[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        live, at = more if at == 0 else live[more], at + 8
+    if not several:
+        return h
+    later = nth > 0
+    h[later] = mix(h[later] + nth[later].astype(np.uint64) * _PIECE_STEP)
+    out, long = np.add.reduceat(h, head), pieces > 1
+    out[long] = mix(out[long] + whole[long].astype(np.uint64) * _LENGTH_STEP)
+    return out
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, lower: bool = True):
     """Yield (hashes, starts, ends) of the words, in order, a block of text at a
     time. Blocks end at white space or between values, so no word is cut. Different words
     have the same 64-bit hash with a probability of 2**-64, whatever their letters."""
-    n, pos, codes = len(data), 0, _CODES[lower]
+    n, pos = len(data), 0
     while pos < n:
         end = min(n, pos + BLOCK)
         if end < n:
@@ -192,7 +197,8 @@ def word_spans(data: np.ndarray, offs: np.ndarray, lower: bool = True):
         cuts = cuts[cuts > 0]
         last[cuts - 1] = full[cuts - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        yield _hashed(data[pos:end][full], e - s, codes), s + pos, e + pos
+        part = _LOWER[data[pos:end]] if lower else data[pos:end]
+        yield _hashed(part, s, e - s), s + pos, e + pos
         pos = end
 
 
