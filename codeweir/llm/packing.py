@@ -95,6 +95,15 @@ def _tie(id_col: str):
     return F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 31) - 1))
 
 
+def _places(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of so many partitions a number that a repartition by it puts there, so that each
+    range has a task of its own."""
+    at = F.pmod(F.hash("id"), F.lit(parts))
+    tries = 20 * parts + 200
+    found = {r["at"]: r["id"] for r in spark.range(tries).groupBy(at.alias("at")).agg(F.min("id").alias("id")).collect()}
+    return np.array([found.get(p, tries + p) for p in range(parts)], np.int64)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and
     ids (unsigned 16-bit, little-endian).
@@ -109,6 +118,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     ranges = int(min(MAX_RANGES, max(1, -(-(size or 0) // RANGE_BYTES))))
     cuts = sorted({found[i * MAX_RANGES // ranges - 1] for i in range(1, ranges)})
     bounds = spark.sparkContext.broadcast(np.array(cuts, np.int64))  # at most MAX_RANGES numbers
+    places = spark.sparkContext.broadcast(_places(spark, len(cuts) + 1))
 
     def encoded(batches):
         enc = encoder(path)
@@ -120,15 +130,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                 part = offs[i : j + 1]
                 keys = (curve_keys(data[part[0] : part[-1]], part - part[0]) << 31) | tie[i:j]
                 made = [enc.encode(t or "") for t in text.slice(i, j - i).to_pylist()]
+                ranges = np.searchsorted(bounds.value, keys, "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(keys), pa.array(np.searchsorted(bounds.value, keys, "right").astype(np.int32)), pa.array(made, pa.binary())],
-                    names=["__id", "__key", "__range", "__ids"],
+                    [ids.slice(i, j - i), pa.array(keys), pa.array(ranges), pa.array(places.value[ranges]), pa.array(made, pa.binary())],
+                    names=["__id", "__key", "__range", "__place", "__ids"],
                 )
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), _tie(id_col).alias("__tie"))
     kind = rows.schema["__id"].dataType.simpleString()
-    tokens = rows.mapInArrow(encoded, f"__id {kind}, __key long, __range int, __ids binary")
-    tokens = tokens.repartition(len(cuts) + 1, "__range").sortWithinPartitions("__range", "__key", "__id")
+    tokens = rows.mapInArrow(encoded, f"__id {kind}, __key long, __range int, __place long, __ids binary")
+    tokens = tokens.repartition(len(cuts) + 1, "__place").sortWithinPartitions("__range", "__key", "__id")
 
     def packed(batches):
         at, fill, seq = -1, 0, 0
