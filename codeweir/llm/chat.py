@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweir.llm.common import table
+from codeweir.llm.common import bounded_batches, table
 
 
 def field_paths(value, at: str = "") -> set[str]:
@@ -59,6 +59,9 @@ class Mapping:
             found.append(fingerprint(must | {f for i, f in enumerate(self.optional) if bits >> i & 1}))
         return found
 
+    def paths(self) -> set[str]:
+        return {f for _, f in self.pairs} | ({f"{self.turns}[].{x}" for x in (self.role, self.text, self.order) if x} if self.turns else set())
+
     def read(self, record: dict) -> list[tuple[str, str]]:
         names = dict(self.roles)
         if self.pairs:
@@ -128,10 +131,16 @@ def format_records(records: DataFrame, json_col: str, keep: list[str], template:
 
     A record that is null, no JSON object, or of an unknown layout has a null layout and
     formatted. A null text or role is empty. Turns of an ordered layout are sorted by
-    the order field (null first), then role, then text. An empty table gives an empty
-    result.
+    the order field (null first), then role, then text. Fields that no mapping names (a
+    turn's weight, an id) don't count where the whole layout isn't known. Repeated records
+    are formatted each, whole texts however long. An empty table gives an empty result.
+    keep can't name a column of the output.
     """
+    if clash := {"layout", "formatted", "loss_spans"} & set(keep):
+        raise ValueError(f"columns of the output can't be kept: {', '.join(sorted(clash))}")
+    bounded_batches(records.sparkSession)
     known = {f: m for m in mappings for f in m.fingerprints()}
+    named = {p for m in mappings for p in m.paths()}
     out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -142,7 +151,8 @@ def format_records(records: DataFrame, json_col: str, keep: list[str], template:
                     record = json.loads(raw) if raw is not None else None
                 except ValueError:
                     record = None
-                m = known.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
+                paths = field_paths(record) if isinstance(record, dict) else set()
+                m = known.get(fingerprint(paths)) or known.get(fingerprint(paths & named)) if paths else None
                 text, mask = template.format(m.read(record)) if m else (None, None)
                 names.append(m.name if m else None)
                 texts.append(text)

@@ -62,8 +62,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with their columns, without the rows that exact_duplicates() drops."""
     dropped = written(exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__drop"), F.col("full_hash").alias("__drop_hash")), "dedup-dropped")
-    same = (F.col(id_col).eqNullSafe(F.col("__drop"))) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("__drop_hash"))
-    return docs.join(checked_broadcast(dropped, MAX_BROADCAST // 4), same, "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))  # so that no name can clash
+    same = (F.col("__row")[id_col].eqNullSafe(F.col("__drop"))) & (F.sha2(normalised(F.col("__row")[text_col]), 256) == F.col("__drop_hash"))
+    return rows.join(checked_broadcast(dropped, MAX_BROADCAST // 4), same, "left_anti").select("__row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -465,7 +465,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     remove: the smallest of each group stays."""
     found = near_duplicates(docs, id_col, text_col, words, percent)
     dropped = written(found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__drop")), "join-dropped")
-    return docs.join(checked_broadcast(dropped, MAX_BROADCAST), F.col(id_col) == F.col("__drop"), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))  # so that no name can clash
+    return rows.join(checked_broadcast(dropped, MAX_BROADCAST), F.col("__row")[id_col] == F.col("__drop"), "left_anti").select("__row.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

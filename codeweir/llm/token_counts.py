@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweir.llm.common import fresh_path, table
+from codeweir.llm.common import bounded_batches, fresh_path, table
 from codeweir.llm.tokens import default_vocabulary, encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -20,8 +20,10 @@ SUMS = "source string, lang string, tokenizer string, documents long, tokens lon
 
 def counted(docs: DataFrame, tokenizer: str = "byte_bpe_50k", vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
     """source, lang, tokenizer, n_tokens, n_chars for each row, over whole texts (null:
-    empty). The source and lang may be null: a group of its own."""
+    empty), however long. The source and lang may be null: a group of its own. Rows that
+    repeat count each; an empty table gives an empty result. Other columns are ignored."""
     path = vocabulary or default_vocabulary()
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         enc = encoder(path)

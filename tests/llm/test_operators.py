@@ -120,6 +120,8 @@ def test_join_of_nulls_repeats_and_nothing(spark):
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, rows)).collect() if r["doc_id"])
     assert got == [(5, 5), (5, 5), (7, 5), (9, 5)]
     assert ngram_join.near_duplicates(docs(spark, rows).where("false")).count() == 0
+    clash = docs(spark, rows).withColumn("__drop", F.lit(1)).withColumn("__row", F.lit(2))
+    assert ngram_join.without_near_copies(clash).columns == clash.columns
     kept = ngram_join.without_near_copies(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 5, 5]
 
@@ -218,10 +220,14 @@ def test_layouts_become_the_same_turns(spark):
         '{"question":"hi","answer":"yo"}',
         '{"rows":[{"turn":2,"role":"assistant","text":"yo"},{"turn":1,"role":"user","text":"hi"}]}',
         '{"unknown":1}', "no json", None, "[1]",
+        '{"id":7,"messages":[{"role":"user","content":"hi","weight":1},{"role":"assistant","content":"yo","name":"a"}]}',
     ]
     df = spark.createDataFrame(list(enumerate(records)), "layout long, record string")
     out = {r["n"]: r["formatted"] for r in chat.format_records(df.withColumnRenamed("layout", "n"), "record", ["n"]).collect()}
     assert [chat.Template().parse(out[i]) for i in range(7)] == [said] * 7 and all(out[i] is None for i in range(7, 11))
+    assert chat.Template().parse(out[11]) == said
+    with pytest.raises(ValueError):
+        chat.format_records(df, "record", ["layout"])
 
 
 def test_chat_query_on_rows(spark, tmp_path):
@@ -395,6 +401,8 @@ def test_exact_dedup_equals_brute_force(spark, monkeypatch):
         got = sorted(map(repr, ((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(docs(spark, rows)).collect())))
         want = sorted(map(repr, ((i, min(ids[norm(t)], default=None), sizes[norm(t)], i == min(ids[norm(t)], default=None)) for i, t in rows)))
         assert got == want
+    clash = docs(spark, rows).withColumn("__drop", F.lit(1)).withColumn("__row", F.lit(2))
+    assert exact_dedup.without_copies(clash).columns == clash.columns
     kept = exact_dedup.without_copies(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns and sorted(Counter(norm(r["text"]) for r in kept.collect()).items()) == sorted((Counter({norm(t): 1 for _, t in rows}) | Counter({"twin": 2})).items())
     assert exact_dedup.exact_duplicates(docs(spark, rows).where("false")).count() == 0
@@ -555,3 +563,14 @@ def test_very_long_texts_cross_blocks(monkeypatch):
     monkeypatch.setattr(common, "BLOCK", 64)
     got = word_hashes(*text_buffers(pa.array(texts)))
     assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+
+
+@pytest.mark.parametrize("n", [7, 8, 9, 255, 256, 257, 1024, 4096, 1 << 18])
+def test_repeating_letters_are_told_apart(n):
+    """Words of two letters in an order that cancels out in sums of powers, and their opposites."""
+    import pyarrow as pa
+
+    x = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    y = x.translate({97: 98, 98: 97})
+    h, _ = word_hashes(*text_buffers(pa.array([f"{x} {y} {x} {x}a", x])))
+    assert h[0] == h[2] == h[4] and len(set(h.tolist())) == 3
