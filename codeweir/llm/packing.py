@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document is a vector of signed word-hash counts, projected to four dimensions;
+Each document is a vector of signed word-hash counts, projected to a few dimensions;
 its cell's place on the Hilbert curve, then a hash of its id, orders all documents.
 The order is cut into ranges of about equal size at quantiles, and each range is
 packed by itself, one document's ids after the other, so neighbours on the curve share
@@ -20,7 +20,9 @@ from codeweir.llm.common import bounded_batches, mix, row_slices, table, text_bu
 from codeweir.llm.tokens import default_vocabulary, encoder
 
 SEQUENCE = 1024
-DIMS, BITS = 4, 7
+DIMS, BITS = 6, 5
+#: Where half of an axis's cells lie on either side of the middle.
+SPREAD = 4.0
 #: Bytes of text in a range, and the most ranges (a longer order has larger ranges,
 #: which are packed as a stream).
 RANGE_BYTES, MAX_RANGES = 4 << 20, 4096
@@ -63,7 +65,7 @@ def projected(words: np.ndarray, woffs: np.ndarray) -> np.ndarray:
     counts = np.diff(woffs)
     h = mix(words)
     for d in range(DIMS):
-        signs = ((h >> np.uint64(13 * d + 7)) & np.uint64(1)).astype(np.int64) * 2 - 1
+        signs = ((h >> np.uint64(7 * d + 3)) & np.uint64(1)).astype(np.int64) * 2 - 1
         sums = np.concatenate(([0], np.cumsum(signs)))
         out[:, d] = (sums[woffs[1:]] - sums[woffs[:-1]]) / np.sqrt(np.maximum(counts, 1))
     return out
@@ -74,7 +76,8 @@ def curve_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for i, j in row_slices(offs, 1 << 20):
         part = offs[i : j + 1]
         v = projected(*word_hashes(data[part[0] : part[-1]], part - part[0]))
-        cells = np.clip(((v + 8.0) / 16.0 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
+        # Axes are squashed, not clipped, so that long texts of many common words keep apart.
+        cells = np.minimum(((0.5 + np.arctan(v / SPREAD) / np.pi) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
         keys.append(hilbert_keys(cells, BITS))
     return np.concatenate(keys) if keys else np.zeros(0, np.int64)
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from codeweir.llm import packing, queries, token_counts, toxicity
@@ -53,6 +54,19 @@ def test_op6_is_full_and_follows_the_curve(spark, rows, monkeypatch):
     assert order == sorted(order) and len(set(order)) > 20
 
 
+def test_neighbours_on_the_curve_share_words():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"]
+    keys, sets = packing.curve_keys(*text_buffers(texts)), [set((x or "").lower().split()) for x in texts.to_pylist()]
+
+    def shared(order):
+        order = [i for i in order if sets[i]]
+        return np.mean([len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in zip(order, order[1:])])
+
+    by_length = shared(np.argsort([len(x) for x in sets], kind="stable"))
+    by_chance = shared(np.random.default_rng(1).permutation(len(sets)))
+    assert shared(np.argsort(keys, kind="stable")) > 1.4 * by_length > 1.4 * by_chance
+
+
 def feature_set(text):
     cols, offs = toxicity.features(*text_buffers(pa.array([text])))
     return set(cols.tolist())
