@@ -1,21 +1,22 @@
-"""Byte-level BPE ids of whole texts, quickly and in bounded memory.
+"""Byte-level BPE ids of whole texts.
 
-The pre-tokeniser's pattern never crosses a single space between two characters that
-are no white space, so such texts are split there and each piece's ids are kept in a
-table. Texts with other white space next to a space are encoded whole, as are long
-pieces. Ids are the same as those of the tokenizers library for the same vocabulary.
+Ids are the same as those of the tokenizers library for the same vocabulary. The
+pre-tokeniser's pattern looks ahead at the end of white space, and gives up on runs of very
+many such characters; texts it gives up on are cut at long runs, where the pattern
+cuts them too.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 
-#: Pieces kept at once (about 150 bytes each), and the longest piece kept.
-MAX_PIECES, MAX_PIECE = 200_000, 48
 END_OF_TEXT = "<|endoftext|>"
+#: White space (as Unicode has it) of runs at which a text may be cut, and their least length.
+LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def default_vocabulary() -> str:
@@ -24,80 +25,46 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class PieceEncoder:
+class TextEncoder:
     def __init__(self, vocabulary: str):
         import public_tokenizers
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if len(ranks) >= 1 << 16:
+            raise ValueError(f"ids are kept in 16 bits, and {vocabulary} has {len(ranks)}")
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
-        self.pieces: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode(text, allowed_special="all"), np.uint16).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        out = self.whole(" " + piece)
-        if len(piece) <= MAX_PIECE:
-            if len(self.pieces) >= MAX_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = out
-        return out
+    def _ids(self, text: str) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, allowed_special="all").astype(np.uint16)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 16-bit numbers."""
-        if not text:
-            return b""
-        parts = text.split(" ")
-        ids = list(map(self.pieces.get, parts))
-        ids[0] = self.whole(parts[0])
-        if None in ids:
-            pieces = self.pieces
-            for i, x in enumerate(ids):
-                if x is None:
-                    p = parts[i]
-                    x = pieces.get(p)
-                    if x is None:
-                        if not p or p[0].isspace() or p[-1].isspace():
-                            return self._mixed(parts)
-                        x = self._piece(p)
-                    ids[i] = x
-        if not parts[0] or parts[0][-1].isspace():
-            return self._mixed(parts)
-        return b"".join(ids)
-
-    def _mixed(self, parts: list[str]) -> bytes:
-        """Parts that meet at a single space between other characters are cut there;
-        the others are put together again and encoded as one run."""
-        out, run, size = [], [parts[0]], len(parts[0])
-        for p in parts[1:]:
-            last = run[-1]
-            if last and p and not last[-1].isspace() and not p[0].isspace():
-                out.append(self._run(run, not out))
-                run, size = [p], len(p)
-            else:
-                run.append(p)
-                size += len(p) + 1
-        out.append(self._run(run, not out))
-        return b"".join(out)
-
-    def _run(self, run: list[str], first: bool) -> bytes:
-        if first:
-            return self.whole(" ".join(run))
-        if len(run) == 1 and run[0] in self.pieces:
-            return self.pieces[run[0]]
-        if len(run) == 1 and run[0] and not run[0][-1].isspace():
-            return self._piece(run[0])
-        return self.whole(" " + " ".join(run))
-
-
-_encoders: dict[tuple[int, str], PieceEncoder] = {}
-
-
-def encoder(vocabulary: str) -> PieceEncoder:
+        try:
+            return self._ids(text).tobytes()
+        except ValueError:
+            return self._cut(text).tobytes()
+
+    def _cut(self, text: str) -> np.ndarray:
+        """A long run is one piece, but for its last character if a word follows."""
+        out, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end()
+            if end < len(text) and not text.startswith(END_OF_TEXT, end):
+                end -= 1
+            out.append(self._ids(text[at : run.start()]))
+            out.append(np.array(self.bpe._encode_single_piece(text[run.start() : end]), np.uint16))
+            at = end
+        return np.concatenate([*out, self._ids(text[at:])])
+
+
+_encoders: dict[tuple[int, str], TextEncoder] = {}
+
+
+def encoder(vocabulary: str) -> TextEncoder:
     """One encoder a worker process and vocabulary."""
     key = (os.getpid(), vocabulary)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(vocabulary)
+        _encoders[key] = TextEncoder(vocabulary)
     return _encoders[key]

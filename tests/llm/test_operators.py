@@ -258,9 +258,10 @@ def test_ids_equal_the_library(spark):
     t, enc = hf(), encoder(default_vocabulary())
     rng = random.Random(4)
     texts = PIECES + ["".join(rng.choices(["a", "Bc", " ", "  ", "\n", "é", "9", "'s", "!", "\u00a0", "<|endoftext|>"], k=rng.randint(0, 40))) for _ in range(400)]
-    for _ in range(2):  # the second time from the table of pieces
-        for x in texts:
-            assert np.frombuffer(enc.encode(x), np.uint16).tolist() == t.encode(x, add_special_tokens=False).ids, x
+    # Runs of white space that are too long for the pattern's look-ahead.
+    long = [" " * 1_100_000, "x" + " " * 1_100_000 + "word and", "\n" * 1_050_000 + "y\t z", "a" + " " * 1_100_000 + "<|endoftext|>  b", "\u3000 \x85" * 400_000 + "q", "x\x1c" * 3000 + " " * 1_100_000 + "\x1cz"]
+    for x in texts + long:
+        assert np.frombuffer(enc.encode(x), np.uint16).tolist() == t.encode(x, add_special_tokens=False).ids, x[:50]
 
 
 def test_rollups_follow_inserts_deletes_and_revisions(spark):
