@@ -2,7 +2,7 @@
 
 Each document is a vector of signed word-hash counts, projected to a few dimensions;
 its cell's place on the Hilbert curve, then a hash of its id, orders all documents.
-The order is cut into ranges of about equal size at quantiles, and each range is
+The order is cut into ranges of about equal bytes at quantiles, and each range is
 packed by itself, one document's ids after the other, so neighbours on the curve share
 sequences and only a range's last sequence has padding.
 """
@@ -26,6 +26,8 @@ SPREAD = 4.0
 #: Bytes of text in a range, and the most ranges (a longer order has larger ranges,
 #: which are packed as a stream).
 RANGE_BYTES, MAX_RANGES = 4 << 20, 4096
+#: Bytes of text that count as one more key when quantiles are taken.
+KEY_BYTES = 1024
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -83,13 +85,17 @@ def curve_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Curve key (the Hilbert place, then 31 bits of a hash of the id) and bytes of text."""
+    """Curve key (the Hilbert place, then 31 bits of a hash of the id) and bytes of text; a long
+    text's key once for each KEY_BYTES begun, so that quantiles cut bytes and not rows."""
 
     def run(batches):
         for b in batches:
             data, offs = text_buffers(b.column("__text"))
-            keys = curve_keys(data, offs)
-            yield pa.RecordBatch.from_arrays([pa.array((keys << 31) | b.column("__tie").to_numpy().astype(np.int64)), pa.array(np.diff(offs))], names=["__key", "__size"])
+            keys, size = (curve_keys(data, offs) << 31) | b.column("__tie").to_numpy().astype(np.int64), np.diff(offs)
+            times = 1 + size // KEY_BYTES
+            shares = np.repeat(np.minimum(size, KEY_BYTES), times)
+            shares[np.cumsum(times) - 1] = size % KEY_BYTES
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, times)), pa.array(shares)], names=["__key", "__size"])
 
     return docs.select(F.col(text_col).alias("__text"), _tie(id_col).alias("__tie")).mapInArrow(run, "__key long, __size long")
 
