@@ -1,3 +1,4 @@
 """Operators for preparing training data: joins on n-grams, secret scans, chat
 formatting, token counts, mixing, packing, exact dedup, nearest neighbours,
-toxicity and language-model scores. Nothing else in the library imports it."""
+toxicity, language-model scores, ranked search,
+min-max near-dedup and clusters. Nothing else in the library imports it."""

@@ -173,9 +173,10 @@ def _hashed(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return out
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray, lower: bool = True):
+def word_spans(data: np.ndarray, offs: np.ndarray, lower: bool = True, inside: np.ndarray = _IN_WORD):
     """Yield (hashes, starts, ends) of the words, in order, a block of text at a
-    time. Blocks end at white space or between values, so no word is cut. Different words
+    time. inside: which of the 256 bytes a word has (default: all but ASCII white space).
+    Blocks end between words or between values, so no word is cut. Different words
     have the same 64-bit hash with a probability of 2**-64, whatever their letters."""
     n, pos = len(data), 0
     while pos < n:
@@ -183,12 +184,12 @@ def word_spans(data: np.ndarray, offs: np.ndarray, lower: bool = True):
         if end < n:
             stop = int(offs[np.searchsorted(offs, end)])
             while end < stop:
-                gap = np.flatnonzero(~_IN_WORD[data[end : min(stop, end + 4096)]])
+                gap = np.flatnonzero(~inside[data[end : min(stop, end + 4096)]])
                 if len(gap):
                     end += int(gap[0])
                     break
                 end = min(stop, end + 4096)
-        full = _IN_WORD[data[pos:end]]
+        full = inside[data[pos:end]]
         first, last = full.copy(), full.copy()
         first[1:] &= ~full[:-1]
         last[:-1] &= ~full[1:]

@@ -418,6 +418,27 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: i
     return out
 
 
+def completed(known: DataFrame, some: DataFrame, classes: DataFrame, comps: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """id, n_shingles and component_id of the rows of known (id, n, digest). some: those with an id
+    and a set; classes: digest, cid; comps: cid, comp; links: a, b, between components. The
+    rows of an id are one document. Deletes the tables that it is given."""
+    same_id = some.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("id").alias("s_id"))
+    same_id = written(same_id, "join-repeated")
+    if not same_id.isEmpty():
+        repeated = some.join(same_id, F.col("id") == F.col("s_id"), "left_semi").select("id", F.col("digest").alias("r_digest"))
+        repeated = repeated.join(classes, F.col("r_digest") == F.col("digest")).join(comps.withColumnRenamed("cid", "c_cid"), F.col("cid") == F.col("c_cid")).select("id", F.col("comp").alias("a"))
+        least = repeated.groupBy(F.col("id").alias("l_id")).agg(F.min("a").alias("b"))
+        links = links.union(repeated.join(least, F.col("id") == F.col("l_id")).select("a", "b"))
+    comps = contracted(comps, links, "join-state")
+    # A component is known by the smallest of its classes' ids, and a class by the smallest of its rows'.
+    reached = classes.select("digest", "cid").join(comps.withColumnRenamed("cid", "c_cid"), F.col("cid") == F.col("c_cid")).select(F.col("digest").alias("c_digest"), F.col("comp").alias("component"))
+    rows = known.select("id", "n", "digest").join(reached, (F.col("digest") == F.col("c_digest")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
+    rows = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = written(rows, "join-rows")
+    removed(known.sparkSession, [known, classes, comps, links, same_id])
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id (the smallest id that links
     reach, itself included).
@@ -443,21 +464,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(some.groupBy("digest").agg(*of_class), "join-classes")
     comps = first_steps(docs, classes.dropDuplicates(["cid"]), id_col, text_col, words, percent)
     comps, links = third_step(docs, some, comps, id_col, text_col, words, percent, cut)
-    same_id = some.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("id").alias("s_id"))
-    same_id = written(same_id, "join-repeated")
-    if not same_id.isEmpty():
-        repeated = some.join(same_id, F.col("id") == F.col("s_id"), "left_semi").select("id", F.col("digest").alias("r_digest"))
-        repeated = repeated.join(classes, F.col("r_digest") == F.col("digest")).join(comps.withColumnRenamed("cid", "c_cid"), F.col("cid") == F.col("c_cid")).select("id", F.col("comp").alias("a"))
-        least = repeated.groupBy(F.col("id").alias("l_id")).agg(F.min("a").alias("b"))
-        links = links.union(repeated.join(least, F.col("id") == F.col("l_id")).select("a", "b"))
-    comps = contracted(comps, links, "join-state")
-    # A component is known by the smallest of its classes' ids, and a class by the smallest of its rows'.
-    reached = classes.select("digest", "cid").join(comps.withColumnRenamed("cid", "c_cid"), F.col("cid") == F.col("c_cid")).select(F.col("digest").alias("c_digest"), F.col("comp").alias("component"))
-    rows = known.select("id", "n", "digest").join(reached, (F.col("digest") == F.col("c_digest")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    rows = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    out = written(rows, "join-rows")
-    removed(spark, [known, classes, comps, links, same_id])
-    return out
+    return completed(known, some, classes, comps, links, id_col)
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

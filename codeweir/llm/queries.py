@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweir.llm import chat, exact_dedup, lm_scoring, mixing, neighbours, ngram_join, packing, secrets, span_sql, token_counts, toxicity
+from codeweir.llm import centroids, chat, exact_dedup, lexical, lm_scoring, minmax, mixing, neighbours, ngram_join, packing, secrets, span_sql, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lm_scores": lm_scoring.op10_lm_scores,
+        "op11_search": lexical.op11_search,
+        "op12_minmax": minmax.op12_minmax,
+        "op13_clusters": centroids.op13_clusters,
     }
 
 
@@ -29,4 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": exact_dedup.SQL,
         "op8_neighbours": neighbours.SQL,
         "op10_lm_scores": lm_scoring.SQL,
+        "op11_search": lexical.SQL,
+        "op12_minmax": minmax.SQL,
+        "op13_clusters": centroids.SQL,
     }
