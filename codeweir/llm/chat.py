@@ -21,17 +21,33 @@ from pyspark.sql import functions as F
 from codeweir.llm.common import bounded_batches, table
 
 
-def field_paths(value, at: str = "") -> set[str]:
-    """Nested field paths of a JSON value; array levels are written []."""
+#: Characters that stand for nesting in paths.
+_IN_KEYS = str.maketrans({"\\": "\\\\", ".": "\\.", "[": "\\["})
+
+
+def field_paths(value, at: str = "") -> set[tuple[str, str]]:
+    """Nested field paths of a JSON value, with the kind of what stands there (text, number, bool,
+    null; object or array if empty); array levels are written []."""
     if isinstance(value, dict):
-        return {p for k, v in value.items() for p in (field_paths(v, f"{at}.{k}" if at else k) or {f"{at}.{k}" if at else k})}
+        found = set().union(*(field_paths(v, ".".join(filter(None, (at, k.translate(_IN_KEYS) or "\\")))) for k, v in value.items()))
+        return found or ({(at, "object")} if at else set())
     if isinstance(value, list):
-        return {p for v in value for p in field_paths(v, at + "[]")} or {at + "[]"}
-    return {at} if at else set()
+        return set().union(*(field_paths(v, at + "[]") for v in value)) or {(at + "[]", "array")}
+    kind = "null" if value is None else "bool" if isinstance(value, bool) else "text" if isinstance(value, str) else "number"
+    return {(at, kind)} if at else set()
+
+
+def fingerprint(paths: Iterable[tuple[str, str]]) -> str:
+    return hashlib.sha256("\n".join(sorted(f"{kind} {path}" for path, kind in paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def fingerprint(paths: Iterable[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+def whole(text: str | None) -> str:
+    """Text with halves of surrogate pairs, which JSON allows and UTF-8 doesn't, replaced; null is empty."""
+    return (text or "").encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def not_a_number(name: str):
+    raise ValueError(f"{name} is no JSON")
 
 
 @dataclass(frozen=True)
@@ -48,28 +64,31 @@ class Mapping:
     roles: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ()
 
+    def paths(self) -> dict[str, str]:
+        """Its fields and their kinds."""
+        if not self.turns:
+            return {f: "text" for _, f in self.pairs}
+        kinds = {self.role: "text", self.text: "text"} | ({self.order: "number"} if self.order else {})
+        return {f"{self.turns}[].{x}": kind for x, kind in kinds.items()}
+
     def fingerprints(self) -> list[str]:
         """Of all layouts that this mapping reads: its fields with and without each
         optional one, and an empty array of turns."""
+        full = self.paths()
         if self.turns:
-            full = {f"{self.turns}[].{x}" for x in (self.role, self.text, self.order) if x}
-            return [fingerprint(full), fingerprint({f"{self.turns}[]"})]
-        must, found = {f for _, f in self.pairs if f not in self.optional}, []
-        for bits in range(1 << len(self.optional)):
-            found.append(fingerprint(must | {f for i, f in enumerate(self.optional) if bits >> i & 1}))
-        return found
-
-    def paths(self) -> set[str]:
-        return {f for _, f in self.pairs} | ({f"{self.turns}[].{x}" for x in (self.role, self.text, self.order) if x} if self.turns else set())
+            return [fingerprint(full.items()), fingerprint({(f"{self.turns}[]", "array")})]
+        some = [{f for i, f in enumerate(self.optional) if bits >> i & 1} for bits in range(1 << len(self.optional))]
+        return [fingerprint((f, kind) for f, kind in full.items() if f in given or f not in self.optional) for given in some]
 
     def read(self, record: dict) -> list[tuple[str, str]]:
+        """The turns of a record of one of these layouts."""
         names = dict(self.roles)
         if self.pairs:
-            return [(role, record.get(f) or "") for role, f in self.pairs if f not in self.optional or record.get(f)]
-        turns = record.get(self.turns) or []
+            return [(role, whole(record.get(f))) for role, f in self.pairs if f not in self.optional or record.get(f)]
+        turns = record[self.turns]
         if self.order:
             turns = sorted(turns, key=lambda t: (t.get(self.order) is not None, t.get(self.order) or 0, t.get(self.role) or "", t.get(self.text) or ""))
-        return [(names.get(t.get(self.role), t.get(self.role) or ""), t.get(self.text) or "") for t in turns]
+        return [(names.get(t.get(self.role), whole(t.get(self.role))), whole(t.get(self.text))) for t in turns]
 
 
 MAPPINGS = (
@@ -123,38 +142,65 @@ class Template:
         return [(self.unescape(r), self.unescape(t)) for r, t in self._turn.findall(formatted)]
 
 
+class Layouts:
+    """Which mapping reads a record, by its fingerprint."""
+
+    def __init__(self, mappings: tuple[Mapping, ...]):
+        self.known = {f: m for m in mappings for f in m.fingerprints()}
+        self.kinds = {p: kind for m in mappings for p, kind in m.paths().items()}
+        self.above = {m.turns for m in mappings if m.turns} | {f"{m.turns}[]" for m in mappings if m.turns}
+
+    def counts(self, path: str) -> bool:
+        """Whether a mapping names the path, what it lies in or what lies in it."""
+        return path in self.kinds or path in self.above or any(path.startswith((f"{p}.", f"{p}[]")) for p in self.kinds)
+
+    def of(self, record) -> Mapping | None:
+        """Where the whole layout isn't known, fields count that a mapping names. A null stands for
+        text or a number where a mapping has one."""
+        if not isinstance(record, dict):
+            return None
+        paths = {(p, self.kinds.get(p, kind) if kind == "null" else kind) for p, kind in field_paths(record)}
+        return self.known.get(fingerprint(paths)) or self.known.get(fingerprint(x for x in paths if self.counts(x[0])))
+
+    def turns(self, raw: str | None) -> tuple[str | None, list[tuple[str, str]] | None]:
+        """The name of a record's layout and its turns, or nulls."""
+        try:
+            record = json.loads(raw, parse_constant=not_a_number) if raw is not None else None
+            found = self.of(record)
+        except (ValueError, RecursionError):
+            return None, None
+        return (found.name, found.read(record)) if found else (None, None)
+
+
 FORMATTED = "layout string, formatted string, loss_spans array<struct<start:long,end:long>>"
 
 
 def format_records(records: DataFrame, json_col: str, keep: list[str], template: Template = Template(), mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """keep columns, then layout, formatted and loss_spans of each record.
 
-    A record that is null, no JSON object, or of an unknown layout has a null layout and
-    formatted. A null text or role is empty. Turns of an ordered layout are sorted by
+    A record that is null, no JSON object, nested deeper than the parser goes, or of an
+    unknown layout has a null layout and formatted; so has one in which a field that a
+    mapping names holds something else than it says (a number for a text, an object for
+    a turn's text, a text or an empty object for a turn). A null text or role is empty.
+    Turns of an ordered layout are sorted by
     the order field (null first), then role, then text. Fields that no mapping names (a
-    turn's weight, an id) don't count where the whole layout isn't known. Repeated records
-    are formatted each, whole texts however long. An empty table gives an empty result.
+    turn's weight, an id) don't count where the whole layout isn't known. Half of a surrogate
+    pair becomes U+FFFD. Repeated records are formatted each, whole texts however long. An empty table gives an empty result.
     keep can't name a column of the output.
     """
     if clash := {"layout", "formatted", "loss_spans"} & set(keep):
         raise ValueError(f"columns of the output can't be kept: {', '.join(sorted(clash))}")
     bounded_batches(records.sparkSession)
-    known = {f: m for m in mappings for f in m.fingerprints()}
-    named = {p for m in mappings for p in m.paths()}
+    layouts = Layouts(mappings)
     out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for b in batches:
             names, texts, masks = [], [], []
             for raw in b.column("__record").to_pylist():
-                try:
-                    record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                paths = field_paths(record) if isinstance(record, dict) else set()
-                m = known.get(fingerprint(paths)) or known.get(fingerprint(paths & named)) if paths else None
-                text, mask = template.format(m.read(record)) if m else (None, None)
-                names.append(m.name if m else None)
+                name, turns = layouts.turns(raw)
+                text, mask = template.format(turns) if turns is not None else (None, None)
+                names.append(name)
                 texts.append(text)
                 masks.append(mask and [{"start": s, "end": e} for s, e in mask] if mask is not None else None)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(masks, out_type)], names=[*keep, "layout", "formatted", "loss_spans"])
