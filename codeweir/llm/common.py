@@ -214,6 +214,8 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple
 
 
 _GRAM = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xAAF7F3B1C5B5A2D9, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F, 0xE7037ED1A0B428DB, 0xD1B54A32D192ED03, 0x2545F4914F6CDD1D)]
+#: Words in a shingle, at most.
+MAX_WORDS = len(_GRAM)
 
 
 def shingle_sets(words: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweir.llm.bloom import Bloom
-from codeweir.llm.common import bounded_batches, checked_broadcast, merged_by_tree, mix, removed, row_slices, shingle_sets, table, text_buffers, word_hashes, written
+from codeweir.llm.common import MAX_WORDS, bounded_batches, checked_broadcast, merged_by_tree, mix, removed, row_slices, shingle_sets, table, text_buffers, word_hashes, written
 from codeweir.llm.components import components
 from codeweir.llm.signature_tree import SignatureTree, bitmap, width
 
@@ -47,6 +47,9 @@ PROBES = 2
 GROUP_ENTRIES = 20_000
 #: Bits of the bitmaps that go with a shingle's members.
 MEMBER_BITS = 256
+#: Bits that are kept of a prefix shingle beyond those that number all shingles. Fewer only make
+#: more pairs look alike.
+SPARE_BITS = 8
 #: Prefix shingles that a task packs at a time, and that a partition of them holds, at least.
 PACKED, PART = 1 << 20, 1 << 20
 
@@ -261,7 +264,8 @@ def packed_prefixes(pre: DataFrame, cut: int, parts: int) -> DataFrame:
 
 def joining_entries(pre: DataFrame, cut: int, tokens: int) -> DataFrame:
     """tok, cid, m (members of the token) and home (the smallest) of shingles that join different
-    components; probe: one of the first of its component there; mixed: the token has members
+    components; two shingles of a set whose first bits are equal are two entries, so that what
+    sets share is never counted too low; probe: one of the first of its component there; mixed: the token has members
     that aren't."""
     tasks = pre.rdd.getNumPartitions()
     # A part grows with the number of tasks, so that what each sends it isn't next to nothing.
@@ -282,7 +286,6 @@ def joining_entries(pre: DataFrame, cut: int, tokens: int) -> DataFrame:
         keep = np.repeat(several, count)
         tok, cid, comp, m = tok[keep], cid[keep], comp[keep], np.repeat(count, count)[keep]
         by = np.lexsort((cid, mix(cid.view(np.uint64)), comp, tok))
-        by = by[np.concatenate(([True], (tok[by][1:] != tok[by][:-1]) | (cid[by][1:] != cid[by][:-1])))] if len(by) else by
         tok, cid, comp, m = tok[by], cid[by], comp[by], m[by]
         cut_at = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (comp[1:] != comp[:-1]))))
         size = np.diff(np.append(cut_at, len(tok)))
@@ -452,11 +455,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
+    if not 1 <= words <= MAX_WORDS:
+        raise ValueError(f"words must lie between 1 and {MAX_WORDS}")
     spark = docs.sparkSession
     bounded_batches(spark)
     sketch, shingles = rarity(docs, text_col, words)
     sent = spark.sparkContext.broadcast(sketch)  # of fixed size
-    cut = min(48, shingles.bit_length() + 8)
+    cut = min(48, shingles.bit_length() + SPARE_BITS)
     known = written(keys(docs, id_col, text_col, words, percent, sent, cut), "join-keys")
     sent.destroy()
     some = known.where("id is not null and n > 0")
