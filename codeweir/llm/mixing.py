@@ -174,7 +174,7 @@ WITH rows_in AS (
   SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
          CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src1[0-4]$') THEN 'books'
               WHEN regexp_matches(source, '^src1[5-9]$') THEN 'code' ELSE 'other' END AS domain,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens FROM documents),
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows_in GROUP BY ALL),
 lang_nodes AS (SELECT domain, lang, CAST(sum(tokens * 2) AS DOUBLE) AS cap, CASE lang WHEN 'en' THEN 4.0::DOUBLE WHEN 'fr' THEN 2.0 WHEN 'de' THEN 2.0 WHEN 'es' THEN 2.0 ELSE 1.0 END AS w FROM leaves GROUP BY ALL),
 domain_nodes AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'web' THEN 5.0::DOUBLE WHEN 'books' THEN 3.0 WHEN 'code' THEN 2.0 ELSE 1.0 END AS w,
