@@ -115,6 +115,40 @@ def test_join_of_a_family_about_the_threshold(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def threshold_pair(k, percent, shared, tail, seed):
+    """Two texts with a common head, so that 100 * common = percent * union."""
+    rng = np.random.default_rng(seed)
+    b = [f"w{x}" for x in rng.integers(0, 10**9, shared + k - 1)]
+    g = np.random.default_rng((seed, 752))
+    two = b + [f"z{x}" for x in g.integers(0, 10**9, tail)]
+    return " ".join(b + [f"y{x}" for x in g.integers(0, 10**9, tail)]), " ".join(two)
+
+
+@pytest.mark.parametrize("k,percent,shared,tail", [(4, 85, 340, 30), (5, 80, 400, 50)])
+def test_join_counts_shingles_whose_first_bits_are_equal(spark, monkeypatch, k, percent, shared, tail):
+    """Pairs exactly on the threshold, with so few bits of a shingle kept that many of a prefix are equal."""
+    bits = iter((-6, -4, -2, 0))
+    for steps in (True, False):
+        if not steps:
+            monkeypatch.setattr(ngram_join, "first_steps", lambda d, classes, *a: written(classes.select("cid", F.col("cid").alias("comp")), "t"))
+        for seed in (20, 21):
+            monkeypatch.setattr(ngram_join, "SPARE_BITS", next(bits))
+            rows = [(i * 2 + j, t) for i in range(6) for j, t in enumerate(threshold_pair(k, percent, shared, tail, (seed, i)))]
+            got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs(spark, rows), words=k, percent=percent).collect()}
+            assert got == {i: i // 2 * 2 for i in range(12)} == brute_links(rows, k, percent)
+
+
+def test_join_links_the_pair_that_was_lost(spark):
+    """Of 26 needed prefix shingles two have equal first bits, and at most one minimum hash agrees."""
+    b = [f"w{x}" for x in np.random.default_rng(20).integers(0, 10**9, 373)]
+    g = np.random.default_rng((20, 752))
+    two = b[:-30] + [f"z{x}" for x in g.integers(0, 10**9, 30)]
+    one = b[:-30] + [f"y{x}" for x in g.integers(0, 10**9, 30)]
+    rows = [(1, " ".join(one)), (2, " ".join(two))]
+    assert brute_links(rows, 4, 85) == {1: 1, 2: 1}
+    assert {r["component_id"] for r in ngram_join.near_duplicates(docs(spark, rows), words=4, percent=85).collect()} == {1}
+
+
 def test_join_of_nulls_repeats_and_nothing(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v"), (9, "q r s t u v"), (7, "a b c d e f")]
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, rows)).collect() if r["doc_id"])
@@ -230,6 +264,43 @@ def test_layouts_become_the_same_turns(spark):
         chat.format_records(df, "record", ["layout"])
 
 
+def test_wrongly_typed_records_have_no_layout(spark):
+    deep = '{"messages":' + "[" * 100_000 + "]" * 100_000 + "}"
+    records = [
+        '{"messages":["hi"]}', '{"messages":[null]}', '{"messages":null}', '{"messages":"hi"}', '{"messages":{}}', '{"messages":[{}]}', '{"messages":[[]]}',
+        '{"messages":["hi",{"role":"user","content":"x"}]}', '{"messages":[{"role":"user","content":5}]}', '{"messages":[{"role":"user","content":"a"},{"role":"user","content":["b"]}]}',
+        '{"messages":[{"role":{"a":1},"content":"x"}]}', '{"prompt":5,"completion":"x"}', '{"prompt":true,"completion":"x"}', '{"prompt":{"":"x"},"completion":"x"}',
+        '{"rows":[{"turn":"1","role":"user","text":"x"}]}', '{"rows":[{"turn":1,"role":"user","text":"x"},{"turn":"b","role":"user","text":"x"}]}', '{"rows":[{"turn":NaN,"role":"user","text":"x"}]}',
+        '{"messages[].role":"user","messages[].content":"x"}', deep, "{", "", '"hi"', "5", "null", "[]", "{}",
+    ]
+    good = ['{"messages":[]}', '{"messages":[{"role":null,"content":null}]}', '{"prompt":null,"completion":"\\ud800x"}', '{"rows":[{"turn":null,"role":"user","text":"' + "long " * 400_000 + '"},{"turn":1.5,"role":"user","text":"x"}]}']
+    df = spark.createDataFrame(list(enumerate(records + good)), "n long, record string")
+    out = {r["n"]: r for r in chat.format_records(df, "record", ["n"]).collect()}
+    assert [i for i in range(len(records)) if out[i]["layout"] is not None or out[i]["formatted"] is not None] == []
+    back = [chat.Template().parse(out[len(records) + i]["formatted"]) for i in range(4)]
+    assert back == [[], [("", "")], [("user", ""), ("assistant", "\ufffdx")], [("user", "long " * 400_000), ("user", "x")]]
+    none = chat.format_records(df.where("false"), "record", ["n"])
+    assert none.count() == 0 and none.columns == ["n", "layout", "formatted", "loss_spans"]
+
+
+_NAMES = st.sampled_from(["messages", "role", "content", "conversations", "from", "value", "rows", "turn", "text", "prompt", "completion", "system", "instruction", "output", "input", "", "a.b", "x[]"])
+_JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(max_size=5) | st.just("\ud800"), lambda v: st.lists(v, max_size=3) | st.dictionaries(_NAMES, v, max_size=4), max_leaves=12)
+_TURNS = st.lists(st.fixed_dictionaries({"role": st.text(max_size=3) | _JSON, "content": st.text(max_size=3) | _JSON}), max_size=3)
+
+
+@settings(max_examples=400, deadline=None)
+@given(_JSON | st.dictionaries(_NAMES, _JSON, max_size=5) | st.fixed_dictionaries({"messages": _TURNS}) | st.fixed_dictionaries({"prompt": _JSON, "completion": st.text(max_size=3)}))
+def test_any_json_has_a_defined_result(value):
+    import json
+
+    name, turns = chat.Layouts(chat.MAPPINGS).turns(json.dumps(value))
+    assert (name is None) == (turns is None)
+    if turns is not None:
+        text, _ = chat.Template().format(turns)
+        text.encode()
+        assert chat.Template().parse(text) == turns
+
+
 def test_chat_query_on_rows(spark, tmp_path):
     turns = [(1, 1, "assistant", None), (1, 0, "user", "a\\b</s>"), (2, 0, None, "x"), (2, 0, None, "x"), (None, None, "assistant", "lost")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
