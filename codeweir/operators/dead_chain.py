@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codeweir.functions.text import basename, dirname, matches_globs, normalise_path
+from codeweir.operators.automaton import containing
 from codeweir.operators.findings import CONFIDENCES, EVIDENCE, completed, ranked
 from codeweir.operators.graph import cut, reachable, weak_components
 from codeweir.operators.leftovers import SOURCE_FILES
+from codeweir.operators.numbering import numbered
 from codeweir.sources.files import DEFAULT_EXCLUDES
 
 # Fixed values.
@@ -19,6 +20,14 @@ JS_REQUIRE = r"""require\(\s*["'`]([^"'`]+)["'`]\s*\)"""
 JS_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx")
 ENTRY = r"(^|/)(main|index|app|server|cli)\.(ts|tsx|js|jsx|py)$"
 SRC_ENTRY = r"^src/(index|main|app|server)\.(ts|tsx|js|jsx|py)$"
+TITLE, REVIEW_TITLE = "Dead chain candidate", "Review-only dead chain candidate"
+ISOLATED, MANUAL = " look isolated from active entrypoints", ", but package initializers require manual review"
+UNREACHED = "No active entrypoint reaches this cluster."
+HAS_PACKAGE = "One or more files are package initializers that may expose implicit package behavior."
+HAS_TEST, NO_TEST = "One or more files are referenced by tests.", "No tests reference this cluster."
+INSIDE = "The files mostly call each other inside the same isolated cluster."
+REVIEW = "Review this chain manually before any deletion because it includes a Python package initializer:\n"
+DELETE = "Review and, if unused at runtime, delete this chain as one unit:\n"
 
 
 def is_test_node(path: Column) -> Column:
@@ -69,14 +78,33 @@ def entry_points(nodes: DataFrame) -> DataFrame:
     return nodes.where((p.rlike(ENTRY) & ~F.col("is_test")) | p.rlike(SRC_ENTRY)).select("path")
 
 
+#: Names that are looked for at once.
+NAMES = 100_000
+
+
+def mentions(files: DataFrame, names: DataFrame) -> DataFrame:
+    """component, o, name of the names whose base a file's path contains: an automaton over all
+    bases reads each path once for each NAMES of them."""
+    names = cut(names)
+    blocks = -(-names.count() // NAMES)
+    found = files.sparkSession.createDataFrame([], "component string, o long, name string")
+    for nth in range(blocks):
+        some = names.where(F.pmod(F.xxhash64("base"), F.lit(blocks)) == nth)
+        bases = [r["base"] for r in some.select("base").distinct().collect()]  # a block
+        numbers = files.sparkSession.createDataFrame(list(enumerate(bases)), "nth int, n_base string")
+        at = containing(files, "path", bases).select("component", F.explode("found").alias("at")).distinct()
+        rows = at.join(numbers, F.col("at") == F.col("nth")).join(some, F.col("n_base") == F.col("base"))
+        found = found.union(rows.select("component", "o", "name"))
+    return found.distinct()
+
+
 def dead_chains(files: DataFrame, findings: DataFrame, min_confidence: str = "medium") -> DataFrame:
     """Findings of unreachable clusters: those of several files, or a file that a dead-code
     finding names. Numbered by the first file of the cluster.
 
     findings give the files with dead code and the names of unused dependencies. Their
-    rows are reduced to distinct names first; components meet only the names whose
-    basename they contain, by a join on path fragments, so no name is compared with
-    every file.
+    rows are reduced to distinct names first, whose basenames are looked for in all paths
+    at once.
     """
     nodes = cut(source_nodes(files))
     edges = cut(import_edges(nodes))
@@ -94,27 +122,23 @@ def dead_chains(files: DataFrame, findings: DataFrame, min_confidence: str = "me
     kept = groups.where((F.size("files") > 1) | F.col("has_dead"))
     names = findings.where((F.col("category") == "dependencies") & F.col("title").rlike("(?i)unused dependency"))
     names = names.groupBy(F.split("message", " ")[0].alias("name")).agg(F.min("ord").alias("o")).withColumn("base", basename(F.col("name"))).where("base <> ''")
-    # A file contains a basename if one of its substrings of that length is the basename. There
-    # are no more lengths than a name may have characters.
-    sizes = names.select(F.length("base").alias("len")).distinct()
-    parts = kept.select("component", F.explode("files").alias("path")).join(F.broadcast(sizes), F.length("path") >= F.col("len"))
-    grams = parts.select("component", F.explode(F.transform(F.sequence(F.lit(1), F.length("path") - F.col("len") + 1), lambda i: F.substring(F.col("path"), i, F.col("len")))).alias("gram")).distinct()
-    used = grams.join(names, F.col("gram") == F.col("base")).groupBy("component").agg(F.transform(F.array_sort(F.collect_set(F.struct("o", "name"))), lambda x: x["name"]).alias("deps"))
+    used = mentions(kept.select("component", F.explode("files").alias("path")), names).groupBy("component")
+    used = used.agg(F.transform(F.array_sort(F.collect_set(F.struct("o", "name"))), lambda x: x["name"]).alias("deps"))
     rows = kept.join(used, "component", "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
-    return completed(_described(rows)).where(ranked(F.col("confidence"), CONFIDENCES) >= CONFIDENCES.index(min_confidence))
+    return completed(_described(numbered(rows, [F.col("files")[0]], "number"))).where(ranked(F.col("confidence"), CONFIDENCES) >= CONFIDENCES.index(min_confidence))
 
 
 def _described(rows: DataFrame) -> DataFrame:
     files, package = F.col("files"), F.col("package")
-    number = F.row_number().over(Window.orderBy(files[0]))
+    number = F.col("number")
     confidence = F.when(package | F.col("has_test"), "low").when(F.col("dynamic"), "medium").otherwise("high")
     listing = F.array_join(F.transform(files, lambda f: F.concat(F.lit("- "), f)), "\n")
     reasons = F.array_compact(
         F.array(
-            F.lit("No active entrypoint reaches this cluster."),
-            F.when(package, "One or more files are package initializers that may expose implicit package behavior."),
-            F.when(F.col("has_test"), "One or more files are referenced by tests.").otherwise("No tests reference this cluster."),
-            F.lit("The files mostly call each other inside the same isolated cluster."),
+            F.lit(UNREACHED),
+            F.when(package, HAS_PACKAGE),
+            F.when(F.col("has_test"), HAS_TEST).otherwise(NO_TEST),
+            F.lit(INSIDE),
         )
     )
     linked = F.when(F.size(files) > 1, F.concat(F.lit(" and "), (F.size(files) - 1).cast("string"), F.lit(" linked files"))).otherwise("")
@@ -125,11 +149,11 @@ def _described(rows: DataFrame) -> DataFrame:
         F.lit("dead_code").alias("category"),
         F.when(confidence == "high", "medium").otherwise("low").alias("severity"),
         confidence.alias("confidence"),
-        F.when(package, "Review-only dead chain candidate").otherwise("Dead chain candidate").alias("title"),
-        F.concat(files[0], linked, F.lit(" look isolated from active entrypoints"), F.when(package, ", but package initializers require manual review").otherwise(""), F.lit(".")).alias("message"),
+        F.when(package, REVIEW_TITLE).otherwise(TITLE).alias("title"),
+        F.concat(files[0], linked, F.lit(ISOLATED), F.when(package, MANUAL).otherwise(""), F.lit(".")).alias("message"),
         files[0].alias("file"),
-        F.when(package, F.concat(F.lit("Review this chain manually before any deletion because it includes a Python package initializer:\n"), listing)).otherwise(F.concat(F.lit("Review and, if unused at runtime, delete this chain as one unit:\n"), listing)).alias("agent_instruction"),
+        F.when(package, F.concat(F.lit(REVIEW), listing)).otherwise(F.concat(F.lit(DELETE), listing)).alias("agent_instruction"),
         F.when(package, F.array(F.lit("dead-chain"), F.lit("review-only"))).otherwise(F.array(F.lit("dead-chain"))).alias("tags"),
         F.struct(F.concat(F.array_join(reasons, " "), F.lit(" Files: "), F.array_join(files, ", "), deps).alias("snippet"), F.lit(None).cast("string").alias("tool_raw_id"), F.lit(None).cast("string").alias("matched_pattern")).cast(EVIDENCE).alias("evidence"),
-        number.cast("long").alias("ord"),
+        number.alias("ord"),
     )

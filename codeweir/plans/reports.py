@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweir.plans.scan import ScanResult, agent_plan
+from codeweir.sources.json_array import write_array
 
 TITLE = "Codeweir"
 KEYS = {"id": "id", "source": "source", "category": "category", "severity": "severity", "confidence": "confidence", "title": "title", "message": "message", "file": "file", "start_line": "startLine", "end_line": "endLine", "is_new": "isNew", "is_autofixable": "isAutofixable", "safe_to_autofix": "safeToAutofix", "fix_command": "fixCommand", "agent_instruction": "agentInstruction", "tags": "tags", "evidence": "evidence", "score_impact": "scoreImpact"}
@@ -179,3 +180,15 @@ def agent_markdown(plan: dict) -> str:
 def write_findings(findings: DataFrame, path: str) -> None:
     """All findings as JSON lines, written by the tasks that hold them."""
     findings.select(finding_json().alias("value")).write.mode("overwrite").text(path)
+
+
+def write_sarif(findings: DataFrame, path: str) -> None:
+    """One SARIF document of findings of any number, in their order: tasks write their results, and
+    the commit joins them."""
+    head, tail = json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": TITLE}}, "results": []}]}).split("[]")
+    write_array(findings.select(sarif_result().alias("value")), "value", path, f"{head}[", f"]{tail}")
+
+
+def write_findings(findings: DataFrame, path: str) -> None:
+    """The findings of a report as one JSON array."""
+    write_array(findings.select(finding_json().alias("value")), "value", path)

@@ -571,4 +571,4 @@ def doc_findings(spark, sf_dir) -> DataFrame:
 
 SQL["corpus_scores"] = rf"WITH {DOC_LINES}, v AS (SELECT * FROM {fixed.values(VOCAB_ROWS, 'grp, pattern')}), m AS (SELECT DISTINCT doc_id, line_no, grp, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS msg FROM doc_lines JOIN v ON contains(lower(line), pattern)), p AS (SELECT CASE grp WHEN 'secret' THEN 'security' ELSE 'leftovers' END AS category, CAST(sum(CASE grp WHEN 'secret' THEN 1620 ELSE 216 END) AS BIGINT) AS penalty_cents FROM m GROUP BY 1) SELECT d.category, coalesce(penalty_cents, 0) AS penalty_cents, CAST(greatest(0, 10000 - coalesce(penalty_cents, 0)) AS BIGINT) AS score_cents FROM (VALUES ('security'), ('correctness'), ('dead_code'), ('leftovers'), ('maintainability'), ('dependencies'), ('tests'), ('efficiency'), ('refactor_readiness')) d(category) LEFT JOIN p ON p.category = d.category"
 
-from codeweir import edge_queries  # noqa: E402, F401  registers its own
+from codeweir import edge_queries, table_queries  # noqa: E402, F401  register their own

@@ -8,7 +8,7 @@ import pytest
 from codeweir import queries as engine
 
 SF = "/root/testdata/sf0.001"
-TABLES = [t for t in ("part", "events", "documents", "conversations") if os.path.exists(f"{SF}/{t}.parquet")]
+TABLES = [t for t in ("part", "events", "documents", "conversations", "benchmark", "pages") if os.path.exists(f"{SF}/{t}.parquet")]
 
 
 def plain(v):
