@@ -1,19 +1,23 @@
 """Distributed graph steps: reachability and weakly connected components. Each round is
-cut by a checkpoint in the shared folder, so lineage stays short and lost executors
+written to the shared folder, so lineage stays short and lost executors
 cost no more than a round."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows written to the shared folder, once, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """path of all nodes that edges (src, dst) reach from seeds (path), seeds included. A round
     expands only the last round's new nodes."""
-    pairs = edges.select("src", "dst").distinct()
-    seen = new = cut(seeds.select("path").distinct())
+    return closure(edges.select("src", "dst").distinct(), seeds)
+
+
+#: Rounds that are kept apart before they are put together.
+ROUNDS = 16
+
+
+def closure(edges: DataFrame, begin: DataFrame, limit=lambda rows: rows) -> DataFrame:
+    """path: of begin and of what distinct edges lead to, round by round, all that limit lets through.
+    A round writes its new nodes alone."""
+    new = cut(limit(begin.select("path").distinct()))
+    rounds = [new]
     while not new.isEmpty():
-        step = pairs.join(new, F.col("src") == F.col("path"), "left_semi").select(F.col("dst").alias("path")).distinct()
-        new = cut(step.join(seen, "path", "left_anti"))
-        seen = cut(seen.union(new))
-    return seen
+        step = limit(edges.join(new, F.col("src") == F.col("path"), "left_semi").select(F.col("dst").alias("path")).distinct())
+        new = cut(step.join(united(rounds), "path", "left_anti"))
+        rounds.append(new)
+        if len(rounds) == ROUNDS:
+            rounds = [cut(united(rounds))]
+    return united(rounds)
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweir.operators.graph import cut
+from codeweir.operators.graph import shared_dir
 
 #: Rows that a partition may number: what monotonically_increasing_id() leaves room for.
 ROOM = (1 << 33) - 1
@@ -21,7 +21,9 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place", start: int
     number a range. Equal rows may change places, so the order should end in a key.
     """
     spark = df.sparkSession
-    ranges = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    shared_dir(spark)
+    # A checkpoint keeps partitions and their order.
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
     part = F.spark_partition_id()
     counts = {r["p"]: r["n"] for r in ranges.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a range
     size = max(counts, default=-1) + 1

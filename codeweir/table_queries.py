@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from codeweir.functions.text import lines
 from codeweir.operators import findings as fx
 from codeweir.operators.automaton import containing
 from codeweir.operators.graph import shared_dir
+from codeweir.operators.graph_changes import begin, changed
 from codeweir.operators.numbering import numbered
 from codeweir.operators.relations import related_to_all
-from codeweir.queries import FINDINGS_CTE, MERGE_CTE, MERGED_COLS, RAW_CTE, flagged_findings, merged_findings, query, raw_findings, read
+from codeweir.queries import DOC_LINES, FINDINGS_CTE, FLAG_CTE, MERGE_CTE, MERGED_COLS, RAW_CTE, flagged_findings, merged_findings, part_graph, query, raw_findings, read
 from codeweir.plans.reports import write_findings, write_sarif
+from codeweir.sources import layouts, versions
 from codeweir.sources.json_array import elements, opened
+from codeweir.sources.text_formats import lines_of
 from codeweir.streaming import merging
 
 # The place of every finding in the whole report.
@@ -94,3 +98,98 @@ def sarif_document(spark, sf_dir):
     rows = whole.select("version", F.posexplode("runs.results").alias("run", "results")).select("version", F.posexplode("results").alias("at", "r"))
     place = F.get("r.locations", F.lit(0))["physicalLocation"]
     return rows.select("version", (F.col("at") + 1).cast("bigint").alias("place"), F.col("r.ruleId").alias("id"), "r.level", F.col("r.message.text").alias("message"), place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("line"))
+
+
+# Against a bucketed version that a first scan has left, after an older one of other findings.
+@query("baseline_version_events", f"WITH {RAW_CTE}, {MERGE_CTE}, {FLAG_CTE} SELECT ord, id, is_new FROM flagged")
+def baseline_version_events(spark, sf_dir):
+    home, rows = f"{_home(spark)}/baseline", merged_findings(spark, sf_dir)
+    versions.write_version(rows.where("ord % 2 = 1"), home, 8)
+    versions.write_version(rows.where("ord % 2 = 0"), home, 8)
+    return versions.flagged(rows, home).select("ord", "id", "is_new")
+
+
+# --- payloads of many layouts ---------------------------------------------------------
+
+#: Which tool's layout an event's payload has.
+SAYS = {"purchase": "deptry", "error": "pyright", "click": "ruff", "view": "semgrep", "signup": "gitleaks"}
+
+
+def event_payloads(spark, sf_dir):
+    """Outputs of five tools, each in its own layout: a payload has the events of one kind among a hundred."""
+    e = F.struct
+    k, file, said = F.from_json("props", "k int")["k"], F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".py")), F.concat(F.lit("value \""), F.format_string("%.2f", "value"), F.lit("\" [] {}, é"))
+    code = F.concat(F.lit("R"), (F.col("user_id") % 7).cast("string"))
+    level = lambda a, b, c: F.when(F.col("value") >= 50, a).when(F.col("value") >= 20, b).otherwise(c)
+    item = {
+        "deptry": e(e(code.alias("code"), said.alias("message")).alias("error"), e(file.alias("file"), k.alias("line")).alias("location")),
+        "pyright": e(file.alias("file"), e(e((k - 1).alias("line")).alias("start")).alias("range"), code.alias("rule"), said.alias("message"), level("error", "warning", "information").alias("severity")),
+        "ruff": e(file.alias("filename"), e(k.alias("row")).alias("location"), code.alias("code"), said.alias("message")),
+        "semgrep": e(file.alias("path"), e(k.alias("line")).alias("start"), code.alias("check_id"), e(said.alias("message"), level("ERROR", "WARNING", "INFO").alias("severity")).alias("extra")),
+        "gitleaks": e(file.alias("File"), k.alias("StartLine"), code.alias("RuleID"), said.alias("Description")),
+    }
+    around = {"pyright": ('{"version":"1","generalDiagnostics":', "}"), "semgrep": ('{"errors":[],"results":', "}")}
+    text, before, after = F.lit(None).cast("string"), F.lit("["), F.lit("]")
+    for kind, tool in SAYS.items():
+        is_kind, (a, z) = F.col("event_type") == kind, around.get(tool, ("", ""))
+        text = F.when(is_kind, F.to_json(item[tool])).otherwise(text)
+        before, after = F.when(is_kind, a + "[").otherwise(before), F.when(is_kind, "]" + z).otherwise(after)
+    source = F.create_map(*(F.lit(x) for kv in SAYS.items() for x in kv))[F.col("event_type")]
+    rows = read(spark, sf_dir, "events").select(source.alias("source"), F.floor(F.col("event_id") / 100).alias("hundred"), "event_id", text.alias("item"), before.alias("a"), after.alias("z"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "item"))), lambda x: x["item"])
+    return rows.groupBy("source", "hundred", "a", "z").agg(items.alias("items")).select("source", F.concat("a", F.array_join("items", ","), "z").alias("stdout"))
+
+
+_SAYS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SAYS.items()) + " END"
+
+
+@query(
+    "variant_payloads",
+    f"""WITH e AS (SELECT {_SAYS} AS source, 'src/u' || user_id || '.py' AS file, CAST(json_extract_string(props, '$.k') AS INTEGER) AS start_line, 'R' || (user_id % 7) AS title,
+  'value "' || printf('%.2f', value) || '" [] {{}}, é' AS message, row_number() OVER (PARTITION BY event_type, event_id // 100 ORDER BY event_id) - 1 AS ord, value FROM events)
+SELECT source, file, start_line, title, message, ord, source || ':' || file || ':' || start_line || ':' || title AS id,
+  CASE source WHEN 'gitleaks' THEN 'security' WHEN 'semgrep' THEN 'security' WHEN 'deptry' THEN 'dependencies' ELSE 'correctness' END AS category,
+  CASE WHEN source = 'gitleaks' THEN 'critical' WHEN source IN ('ruff', 'deptry') THEN 'medium' WHEN value >= 50 THEN 'high' WHEN value >= 20 THEN 'medium' ELSE 'low' END AS severity FROM e""",
+)
+def variant_payloads(spark, sf_dir):
+    return layouts.findings(event_payloads(spark, sf_dir)).select("source", "file", "start_line", "title", "message", "ord", "id", "category", "severity")
+
+
+COMPILED = r"(?P<file>.+)\((?P<line>\d+),(?P<col>\d+)\): error (?P<title>TS\d+): (?P<message>.*)"
+
+
+# Every line of a document that isn't empty, said as a compiler would, and read back by the table function.
+@query("compiler_lines_documents", f"WITH {DOC_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, 'src/d' || doc_id || '.ts' AS file, CAST(line_no AS VARCHAR) AS line, CAST(length(line) AS VARCHAR) AS col, 'TS' || (1000 + length(line)) AS title, line AS message FROM doc_lines WHERE length(line) > 0")
+def compiler_lines_documents(spark, sf_dir):
+    said = F.transform(lines(F.col("text")), lambda x, i: F.when(F.length(x) > 0, F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".ts("), (i + 1).cast("string"), F.lit(","), F.length(x).cast("string"), F.lit("): error TS"), (F.length(x) + 1000).cast("string"), F.lit(": "), x)).otherwise(x))
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(said, "\n").alias("stdout"))
+    return lines_of(docs, "stdout", COMPILED).drop("stdout")
+
+
+# --- a graph that changes ---------------------------------------------------------------
+
+CHANGED_EDGES = """n AS (SELECT p_partkey AS p FROM part),
+e AS (SELECT src, dst FROM (
+  SELECT p AS src, 2 * p AS dst FROM n WHERE p > 0 AND ((p % 7 <> 3 AND p % 11 <> 4) OR (p % 7 = 3 AND p % 2 = 0))
+  UNION SELECT p, p + 1 FROM n WHERE p % 40 = 5 AND p % 80 <> 5
+  UNION SELECT p, 3 * p FROM n WHERE p % 13 = 1 AND p % 39 <> 1) WHERE dst IN (SELECT p FROM n))"""
+
+
+# Three batches of changes to the graph of parts: what is reached and the components are as if made from nothing.
+@query(
+    "graph_changes_part",
+    f"""WITH RECURSIVE {CHANGED_EDGES}, alive AS (SELECT 1::BIGINT AS path UNION SELECT 3::BIGINT UNION SELECT e.dst FROM alive JOIN e ON e.src = alive.path),
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(path, reach) AS (SELECT p, p FROM n UNION SELECT r.path, b.dst FROM r JOIN b ON b.src = r.reach)
+SELECT path, path IN (SELECT path FROM alive) AS reached, min(reach) AS component FROM r GROUP BY path""",
+)
+def graph_changes_part(spark, sf_dir):
+    keys, edges = part_graph(spark, sf_dir)
+    p, some = F.col("path"), keys.where("path > 0")
+    edge = lambda when, to: some.where(when).select(p.alias("src"), F.expr(to).alias("dst"))
+    none = edges.where("false")
+    state = begin(keys, edges, spark.createDataFrame([(1,), (3,)], "path bigint"))
+    state = changed(state, edge("path % 40 = 5", "path + 1"), edge("path % 7 = 3", "2 * path"))
+    state = changed(state, edge("path % 13 = 1", "3 * path"), edge("path % 80 = 5", "path + 1").union(edge("path % 11 = 4", "2 * path")))
+    state = changed(state, edge("path % 7 = 3 AND path % 2 = 0", "2 * path"), none.union(edge("path % 39 = 1", "3 * path")))
+    reached = state.reached.select("path", F.lit(True).alias("hit"))
+    return state.labels.join(reached, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("reached"), "component")

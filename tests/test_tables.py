@@ -166,3 +166,73 @@ def test_keys_are_forgotten_after_their_time(spark, tmp_path):
     assert land(5, 500) == [(5, ["t5"])]
     time.sleep(1)
     assert land(9, 500)[1] == (9, ["t9"])
+
+
+# --- versions, layouts, lines, graphs ----------------------------------------------------
+
+
+def test_baseline_versions(spark, tmp_path):
+    from codeweir.sources import versions
+
+    home = str(tmp_path / "baseline")
+    rows = fx.completed(spark.range(300).select(F.col("id").alias("ord"), F.lit("").alias("id"), F.lit("ruff").alias("source"), F.lit("correctness").alias("category"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), F.lit("m").alias("message")))
+    assert versions.versions(spark, home) == [] and versions.flagged(rows, home).where("is_new").count() == 300
+    versions.write_version(rows.where("ord < 100"), home, 4)
+    versions.write_version(rows.where("ord >= 50 and ord < 250").union(rows.where("ord = 60")), home, 4)
+    assert [(v.number, v.rows) for v in versions.versions(spark, home)] == [(1, 100), (2, 200)]
+    new = lambda number: {r["ord"] for r in versions.flagged(rows, home, number).where("is_new").collect()}
+    assert new(None) == {*range(50), *range(250, 300)} and new(1) == set(range(100, 300))
+    for v in versions.versions(spark, home):  # another session doesn't know the tables
+        spark.sql(f"DROP TABLE baseline_{v.folder.replace('-', '_')}")
+    found = versions.flagged(rows, home)
+    assert {r["ord"] for r in found.where("is_new").collect()} == new(2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("SortMergeJoin") :]
+    assert side.count("Exchange") == 1 and "SelectedBucketsCount: 4 out of 4" in found._jdf.queryExecution().toString()
+
+
+def test_layouts_read_a_table_once_and_never_fail(spark):
+    from codeweir.sources import layouts
+
+    raw = [("ruff", '[{"filename":"a.py","location":{"row":"x"},"code":"E1","message":"m"},5,{"code":null}]'), ("pyright", '{"generalDiagnostics":[{"file":"b.py","range":{"start":{"line":0}},"rule":"r","message":"n","severity":"error"}]}'), ("ruff", "no json"), ("pyright", "[]"), ("ruff", None), ("other", "[]"), ("semgrep", '{"results":{}}')]
+    found = layouts.findings(spark.createDataFrame(raw, "source string, stdout string"))
+    got = sorted((r["source"], r["file"], r["start_line"], r["title"], r["severity"], r["ord"]) for r in found.collect())
+    assert got == [("pyright", "b.py", 1, "r", "high", 0), ("ruff", "a.py", None, "E1", "medium", 0)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
+def test_tool_of_lines_is_registered_and_parsed(spark):
+    from codeweir.sources import text_formats, tools
+
+    try:
+        text_formats.register_lines("linesmith", r"(?P<file>[^:]+):(?P<line>\d+): (?P<title>\w+): (?P<message>.*)", "correctness", lambda: F.when(F.col("title") == "error", "high").otherwise("low"), agent_instruction="Look.")
+        raw = spark.createDataFrame([("linesmith", "a.c:3: error: it's \\ bad\r\nnoise\nb.c:x: warning: w\nb.c:9: warning: w", "", 1, 5, "ok", None), ("linesmith", None, "", 0, 5, "ok", None)], tools.RAW)
+        got = [(r["id"], r["severity"], r["message"], r["start_line"], r["agent_instruction"]) for r in tools.parsed(raw, tools=["linesmith"]).orderBy("ord").collect()]
+        assert got == [("linesmith:a.c:3:error", "high", "it's \\ bad", 3, "Look."), ("linesmith:b.c:9:warning", "low", "w", 9, "Look.")]
+    finally:
+        tools.PARSERS.pop("linesmith", None), tools.PAYLOADS.pop("linesmith", None)
+
+
+def test_changed_graph_equals_one_from_nothing(spark):
+    from codeweir.operators.graph_changes import begin, changed
+
+    rng = random.Random(12)
+    edge = lambda: (rng.randint(0, 29), rng.randint(0, 31))  # noqa: E731  30 and 31 are no nodes
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "src long, dst long")
+    nodes, have = spark.range(30).select(F.col("id").alias("path")), {edge() for _ in range(28)}
+    state = begin(nodes, frame(have), spark.createDataFrame([(0,), (7,)], "path long"))
+    for _ in range(2):
+        gone, new = set(rng.sample(sorted(have), 6)) | {edge()}, {edge() for _ in range(4)}
+        new.add(sorted(gone)[0])  # in both: stays
+        have = (have - gone) | new
+        state = changed(state, frame(new), frame(gone))
+    inside = {(a, b) for a, b in have if b < 30}
+    reached = {0, 7}
+    while more := {b for a, b in inside if a in reached} - reached:
+        reached |= more
+    label = {n: n for n in range(30)}
+    for _ in range(30):
+        for a, b in inside:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["path"] for r in state.reached.collect()} == reached
+    assert {r["path"]: r["component"] for r in state.labels.collect()} == label
