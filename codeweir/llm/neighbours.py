@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeweir.llm.common import removed, table, written
+from codeweir.llm.common import checked_broadcast, removed, table, written
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 #: Queries of a tile whose bounds are held at once.
@@ -122,13 +122,28 @@ def _codes(t: pa.Table):
     return (codes, *(t[c].to_numpy() for c in ("power", "scale", "len", "err")))
 
 
+def few_of_equal(rows: DataFrame, k: int) -> DataFrame:
+    """rows (id, v, ...) without those that can't be among any query's k nearest: equal vectors are
+    equally near, so of them only k + 1 of the smallest ids count, as one may be the query's
+    own, and of the rows of one id k. Vectors of which there are no more stay where they are."""
+    many = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("h")
+    many = checked_broadcast(written(many, "ann-repeated"), 500_000)
+    own = F.xxhash64("v") == F.col("h")
+    hot = rows.join(many, own, "left_semi")
+    hot = hot.withColumn("nth", F.row_number().over(Window.partitionBy("v", "id").orderBy("dim"))).where(F.col("nth") <= k)
+    hot = hot.withColumn("nth", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1).drop("nth")
+    return rows.join(many, own, "left_anti").union(hot)
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """query_id, rank, id, score: for each row whose id is divisible by every, the k other
     rows of the same dimension with the largest inner product, ties to smaller ids.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without an id, take no part. Rows that repeat an id are one vector's rows: none is
-    another's neighbour, each other query lists every one of them. The score is the sum in
+    another's neighbour, each other query lists every one of them (k at most). Of any number
+    of equal vectors only the first k + 1 ids are looked at, so work grows with distinct
+    vectors. The score is the sum in
     doubles over the components in order, whatever their size: where it overflows it is
     infinite, or NaN, which comes first. An empty table gives an empty result. Extra
     columns are ignored.
@@ -140,11 +155,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     row_blocks, query_blocks = max(1, -(-n // row_block)), max(1, -(-m // query_block))
     block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
     others = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    codes = written(rows.mapInArrow(encoded, CODES), "ann-codes")
-    data = codes.select("*", block(row_blocks).alias("rb"), others(query_blocks).alias("qb"))
+    codes = written(rows.where(is_query).mapInArrow(encoded, CODES), "ann-codes")
+    near_rows = written(few_of_equal(rows, k), "ann-distinct")
+    data = near_rows.mapInArrow(encoded, CODES).select("*", block(row_blocks).alias("rb"), others(query_blocks).alias("qb"))
     # Of rows that repeat a query's id, the first by its bytes asks.
     first = Window.partitionBy("id").orderBy("codes", "power", "scale", "err")
-    asked = codes.where(is_query).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    asked = codes.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     asked = asked.select("*", block(query_blocks).alias("qb"), others(row_blocks).alias("rb"))
     by = ("dim", "qb", "rb")
 
@@ -189,7 +205,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     left = written(found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(cut, "query_id long, id long"), "ann-left")
     queries = rows.where(is_query).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("v"))).where("nth = 1")
     queries = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    near = rows.select(F.col("id").alias("x_id"), F.col("v").alias("x"), F.col("dim").alias("x_dim")).join(left, F.col("x_id") == F.col("id"))
+    near = near_rows.select(F.col("id").alias("x_id"), F.col("v").alias("x"), F.col("dim").alias("x_dim")).join(left, F.col("x_id") == F.col("id"))
     near = near.join(queries, "query_id").where(F.col("x_dim") == F.size("q")).select("query_id", "id", "q", "x")
 
     def merged(batches):
@@ -218,7 +234,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.int32()), pa.array(x, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "rank", id_col, "score"])
 
     out = written(near.repartition("query_id").mapInArrow(merged, f"query_id long, rank int, `{id_col}` long, score double"), "ann-rows")
-    removed(spark, [rows, codes, left])
+    removed(spark, [rows, codes, near_rows, left])
     return out
 
 
