@@ -500,6 +500,27 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_neighbours_of_many_equal_vectors(spark):
+    """Copies of one vector are looked at as far as their ids can count."""
+    rng, k = np.random.default_rng(9), 4
+    v = rng.normal(size=(30, 6))
+    rows = [(i, (v[3] if i % 3 else v[i % 30]).tolist()) for i in range(3000)] + [(20, v[3].tolist())] * 9 + [(1, v[3].tolist())] * 7
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    few = neighbours.few_of_equal(neighbours.usable(df, "vec_id", "embedding").withColumn("dim", F.size("v")), k)
+    assert few.count() <= 11 * k * (k + 1)
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, k=k, every=500, row_block=100).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(0, 3000, 500):
+        own, s = next(x for i, x in rows if i == q), []
+        for i, x in rows:
+            total = 0.0
+            for a, b in zip(own, x):
+                total += a * b
+            s += [(-total, i)] if i != q else []
+        assert got[q] == [(i, -x) for x, i in sorted(s)[:k]]
+
+
 @pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324, 1e300, None])
 def test_neighbours_of_extreme_doubles(spark, size):
     """Products that overflow, vanish or are of many sizes: all candidates are weighed by the score
