@@ -13,6 +13,7 @@ from codeweir.operators.automaton import containing
 from codeweir.operators.graph import shared_dir
 from codeweir.operators.graph_changes import begin, changed
 from codeweir.operators.numbering import numbered
+from codeweir.operators.path_rules import ruled
 from codeweir.operators.relations import related_to_all
 from codeweir.queries import DOC_LINES, FINDINGS_CTE, FLAG_CTE, MERGE_CTE, MERGED_COLS, RAW_CTE, flagged_findings, merged_findings, part_graph, query, raw_findings, read
 from codeweir.plans.reports import write_findings, write_sarif
@@ -193,3 +194,23 @@ def graph_changes_part(spark, sf_dir):
     state = changed(state, edge("path % 7 = 3 AND path % 2 = 0", "2 * path"), none.union(edge("path % 39 = 1", "3 * path")))
     reached = state.reached.select("path", F.lit(True).alias("hit"))
     return state.labels.join(reached, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("reached"), "component")
+
+
+# --- rules of many projects ---------------------------------------------------------------
+
+URL_SQL = r"""u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+/([^?#]*?)/?([?#]|$)', 1) AS path FROM pages),
+s AS (SELECT *, split_part(path, '/', 1) AS head, substr(string_split(path, '/')[-1], 1, 2) AS tail FROM u),
+g AS (SELECT host, page_id AS rule, CASE page_id % 4
+  WHEN 0 THEN '^' || regexp_escape(head) || '/[^/]+(/[^/]+)*$' WHEN 1 THEN '^([^/]+/)*' || CASE tail WHEN '' THEN '[^/]+' ELSE regexp_escape(tail) || '[^/]*' END || '$'
+  WHEN 2 THEN '^[^/]+/[^/]' || regexp_escape(substr(tail, 2)) || '[^/]*$' ELSE '^' || regexp_escape(path) || '$' END AS rx FROM s)"""
+
+
+# A rule from every page for the pages of its host: below a directory, by a name's beginning anywhere, by a pattern, whole.
+@query("url_rules_pages", f"WITH {URL_SQL} SELECT u.page_id, count(rule) AS n_rules, min(rule) AS first_rule, max(rule) AS last_rule, coalesce(sum(rule), 0)::BIGINT AS sum_rules FROM u LEFT JOIN g ON g.host = u.host AND regexp_matches(path, rx) GROUP BY u.page_id")
+def url_rules_pages(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("project"), F.regexp_extract("url", "^https?://[^/?#]+/([^?#]*?)/?([?#]|$)", 1).alias("path"))
+    head, tail, kind = F.split_part("path", F.lit("/"), F.lit(1)), F.substring(F.element_at(F.split("path", "/"), -1), 1, 2), F.col("page_id") % 4
+    glob = F.when(kind == 0, F.concat(head, F.lit("/**"))).when(kind == 1, F.concat(F.lit("**/"), tail, F.lit("*"))).when(kind == 2, F.concat(F.lit("*/?"), F.substring(tail, 2, 2), F.lit("*"))).otherwise(F.col("path"))
+    rows = ruled(pages, pages.select("project", F.col("page_id").alias("rule"), glob.alias("glob")))
+    total = F.aggregate("rules", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select("page_id", F.size("rules").cast("bigint").alias("n_rules"), F.array_min("rules").alias("first_rule"), F.array_max("rules").alias("last_rule"), total.alias("sum_rules"))

@@ -236,3 +236,34 @@ def test_changed_graph_equals_one_from_nothing(spark):
             label[a] = label[b] = min(label[a], label[b])
     assert {r["path"] for r in state.reached.collect()} == reached
     assert {r["path"]: r["component"] for r in state.labels.collect()} == label
+
+
+# --- rules of many projects ------------------------------------------------------------------
+
+_PART = st.sampled_from(["a", "b", "ab", "*", "a*", "?", "**", "[ab]", "{a,b}", "", "*b"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(_PART, min_size=1, max_size=4).map("/".join), min_size=1, max_size=5), st.lists(st.sampled_from(["a", "b", "ab", "c", ""]), min_size=1, max_size=4).map("/".join))
+def test_tries_match_what_globs_match(globs, path):
+    import re
+
+    from codeweir.functions.text import glob_regex
+    from codeweir.operators.path_rules import Trie
+
+    trie = Trie(list(enumerate(globs)))
+    assert trie.rules(path) == trie.rules(path) == [i for i, g in enumerate(globs) if re.match(glob_regex(g), path)]
+
+
+def test_rules_of_projects(spark, monkeypatch):
+    from codeweir.operators import path_rules
+
+    monkeypatch.setattr(path_rules, "PATHS", 3)
+    paths = [("p", "src/a.ts"), ("p", "src/x/b.ts"), ("p", "lib/c.py"), ("p", None), ("q", "src/a.ts"), ("r", "src/a.ts"), (None, "src/a.ts"), ("p", "src/a.ts"), ("p", "node_modules/a.ts")]
+    rules = [("p", 1, "src/**", False), ("p", 2, "**/*.ts", False), ("p", 3, "node_modules/**", True), ("q", 4, "lib/**", False), (None, 5, "**", False), ("q", 6, None, False), ("s", 7, "**", False)]
+    df = spark.createDataFrame(paths, "project string, path string")
+    known = spark.createDataFrame(rules, "project string, rule long, glob string, exclude boolean")
+    got = sorted((r["project"] or "", r["path"] or "", r["rules"]) for r in path_rules.ruled(df, known).collect())
+    assert got == [("", "src/a.ts", []), ("p", "", []), ("p", "lib/c.py", []), ("p", "node_modules/a.ts", [2, 3]), ("p", "src/a.ts", [1, 2]), ("p", "src/a.ts", [1, 2]), ("p", "src/x/b.ts", [1, 2]), ("q", "src/a.ts", []), ("r", "src/a.ts", [])]
+    assert sorted((r["project"], r["path"]) for r in path_rules.chosen(df, known).collect()) == [("p", "src/a.ts"), ("p", "src/a.ts"), ("p", "src/x/b.ts")]
+    assert path_rules.ruled(df.where("false"), known).count() == 0 and path_rules.ruled(df, known.where("false")).count() == 9
