@@ -71,35 +71,46 @@ def merged(findings: DataFrame) -> DataFrame:
     autofix flag, the ordered union of tags (a lone row's tags stay as they are), the
     first evidence, command and instruction there is; all else from the first row. Rows of
     one ord (outputs of a tool that landed apart, findings of several files) follow a hash
-    of what they say. Tags are reduced to distinct ones a key before they are gathered, so
-    a key of any number of rows stays small.
+    of what they say. Findings are read once: rows are reduced by key and tag, then by key, so
+    that a key of any number of rows stays small.
     """
     said = [c for c in COLUMNS if c != "ord"]
     keyed = with_merge_key(findings).withColumn("place", F.struct("ord", F.xxhash64(*said).alias("tie")))
+    # A row for each tag; what else a finding says goes with its first one alone.
+    each = keyed.select("*", F.posexplode_outer("tags").alias("at", "tag")).withColumn("first", F.coalesce(F.col("at") == 0, F.lit(True)))
+    whole = [c for c in COLUMNS if c in ("id", "category", "title", "message", "file", "start_line", "end_line", "is_new", "tags")]
+    placed = lambda when, *cols: F.min(F.when(F.col("first") & when, F.struct("place", *cols)))
+    given = ("fix_command", "agent_instruction", "evidence")
     sev, conf = ranked(F.col("severity"), SEVERITIES), ranked(F.col("confidence"), CONFIDENCES)
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
-    rows = keyed.groupBy(*MERGE_KEY).agg(
-        F.count(F.lit(1)).alias("n_merged"),
-        F.min_by(F.struct("id", "category", "title", "message", "file", "start_line", "end_line", "is_new", "tags"), "place").alias("f"),
-        F.max_by("source", F.struct(sev, -F.col("ord"), F.bitwise_not("place.tie"))).alias("source"),
-        named(F.max(sev), SEVERITIES).alias("severity"),
-        named(F.max(conf), CONFIDENCES).alias("confidence"),
+    by_tag = each.groupBy(*MERGE_KEY, "tag").agg(
+        F.min(F.struct("place", "at")).alias("o"),
+        F.count_if("first").alias("n"),
+        placed(F.lit(True), F.struct(*whole).alias("said")).alias("f"),
+        F.max(F.when(F.col("first"), F.struct(sev.alias("sev"), (-F.col("ord")).alias("o"), F.bitwise_not("place.tie").alias("t"), "source"))).alias("s"),
+        F.max(conf).alias("conf"),
         F.bool_or("is_autofixable").alias("is_autofixable"),
         F.bool_or("safe_to_autofix").alias("safe_to_autofix"),
-        first("fix_command"),
-        first("agent_instruction"),
-        first("evidence"),
+        *(placed(F.col(c).isNotNull(), c).alias(c) for c in given),
         F.max("score_impact").alias("score_impact"),
-        F.min("ord").alias("ord"),
     )
-    each = keyed.select(*MERGE_KEY, "place", F.posexplode("tags").alias("at", "tag"))
-    tags = each.groupBy(*MERGE_KEY, "tag").agg(F.min(F.struct("place", "at")).alias("o")).groupBy(*MERGE_KEY)
-    tags = tags.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "tag"))), lambda x: x["tag"]).alias("all_tags"))
-    joined = rows.join(tags, MERGE_KEY, "left")
-    union = F.when(F.col("n_merged") > 1, F.coalesce("all_tags", F.array().cast("array<string>"))).otherwise(F.col("f.tags"))
-    return joined.select("n_merged", "f.*", *(c for c in COLUMNS if c not in ("id", "category", "title", "message", "file", "start_line", "end_line", "is_new", "tags")), union.alias("union_tags")).select(
-        *(F.col("union_tags").alias("tags") if c == "tags" else F.col(c) for c in COLUMNS)
+    rows = by_tag.groupBy(*MERGE_KEY).agg(
+        F.sum("n").alias("n_merged"),
+        F.min("f").alias("f"),
+        F.max("s").alias("s"),
+        named(F.max("conf"), CONFIDENCES).alias("confidence"),
+        F.bool_or("is_autofixable").alias("is_autofixable"),
+        F.bool_or("safe_to_autofix").alias("safe_to_autofix"),
+        *(F.min(c)[c].alias(c) for c in given),
+        F.max("score_impact").alias("score_impact"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("o", "tag")))), lambda x: x["tag"]).alias("all_tags"),
     )
+    made = {c: F.col(f"f.said.{c}") for c in whole} | {
+        "source": F.col("s.source"),
+        "severity": named(F.col("s.sev"), SEVERITIES),
+        "tags": F.when(F.col("n_merged") > 1, F.col("all_tags")).otherwise(F.col("f.said.tags")),
+        "ord": F.col("f.place.ord"),
+    }
+    return rows.select(*(made[c].alias(c) if c in made else F.col(c) for c in COLUMNS))
 
 
 # --- fingerprints and baseline ---------------------------------------------------
