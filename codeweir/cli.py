@@ -153,12 +153,12 @@ def main(argv: list[str] | None = None) -> int:
         print(write_baseline_file(scan.findings, os.path.join(root, config.baseline.file)))
     elif a.command == "fix":
         before = scan.findings.count()
-        planned = plan_sources(*_profile(spark, root), config)
+        fixes = fix_commands(*_profile(spark, root))
         lines = ["Warning: working tree has uncommitted changes." if is_dirty(root) else "Working tree looks clean.", "", "Safe fix results:"]
-        for tool, line in fix_commands(planned):
+        for tool, line in fixes:
             done = subprocess.run(line, shell=True, cwd=root, env=os.environ | {"PATH": search_path(root)}, timeout=180, check=False, capture_output=True)
             lines.append(f"- {tool}: {'ok' if done.returncode == 0 else 'skipped' if done.returncode == 127 else 'error'}")
-        after = scanned(spark, root)[0].findings.count() if fix_commands(planned) else before
+        after = scanned(spark, root)[0].findings.count() if fixes else before
         print("\n".join([*lines, "", f"Before: {before} findings", f"After: {after} findings"]))
     else:
         print(render(scan, "agent", a.target) if a.command == "agent-plan" else explained(scan, a.id) if a.command == "explain" else render(scan, a.format), end="")

@@ -15,7 +15,7 @@ from typing import BinaryIO
 from codeweir import cli
 from codeweir.operators.findings import PRIORITY
 from codeweir.plans import reports
-from codeweir.plans.scan import ScanResult, agent_plan, exit_code, explain, fix_commands, plan_sources
+from codeweir.plans.scan import ScanResult, agent_plan, exit_code, explain, fix_commands
 from codeweir.sources.config import load_policy
 from codeweir.sources.project import search_path
 
@@ -103,7 +103,7 @@ def fix_safe(root: str, args: dict) -> dict:
         raise ValueError("Safe fixes are disabled by the agent policy")
     before, config = cli.scanned(cli.session(), root)
     n, results = before.findings.count(), []
-    for tool, line in fix_commands(plan_sources(*cli._profile(cli.session(), root), config)):
+    for tool, line in fix_commands(*cli._profile(cli.session(), root)):
         done = subprocess.run(line, shell=True, cwd=root, env=os.environ | {"PATH": search_path(root)}, timeout=180, check=False, capture_output=True)
         results.append({"id": tool, "status": "ok" if done.returncode == 0 else "skipped" if done.returncode == 127 else "error", "command": line})
     after = cli.scanned(cli.session(), root)[0] if results else before

@@ -21,7 +21,7 @@ VOCABULARY = {
 }
 NAMES = ("old", "legacy", "deprecated", "compat", "fallback", "v1", "previous")
 DOCUMENTS = "^changelog\\b|^release notes?\\b|^copyright\\b|^migration\\b|^history\\b|^example\\b"
-ABOUT_RULES = """patterns|rules for|this detector|agent skills|do not (delete|remove).* (low|dead|legacy|compat)|"legacy"|'legacy'|leftover.*patterns|dead.chain|refactor.*readiness"""
+ABOUT_RULES = """patterns|rules for|this detector|agent skills|codeweir.*(legacy|fallback|dead|leftovers)|do not (delete|remove).* (low|dead|legacy|compat)|"legacy"|'legacy'|leftover.*patterns|dead.chain|refactor.*readiness"""
 ABOUT_DETECTOR = "fallback-branch|name-signal|flag-signal|commented-code|find(Comment|Name|Fallback|Flag)Matches|envGuardMatch|LEFTOVER_NAME|scanLegacyFallbacks|scanCommentedCode|shouldIgnoreLine"
 EXAMPLES = '"legacy"|"fallback"|"compat"|"oldflow"|"LEGACY|OLD|FALLBACK|COMPAT'
 EXAMPLE_USES = "includes|hasFallbackSignal|hasControlFlow|lower\\.includes"

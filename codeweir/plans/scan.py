@@ -28,23 +28,28 @@ ANY_LANGUAGE = {"semgrep", "jscpd", "lizard"}
 MODES = ("default", "changed", "quick", "full")
 
 
-def plan_sources(languages, lockfiles, hints, test_commands, config: Config, mode: str = "default") -> list[str]:
-    """Ids of sources to run, in order: those of enabled checks that fit the project; quick
-    mode has a list of its own. Sources not planned are never read."""
-    c = config.checks
-    enabled = {"security": c.security.enabled, "correctness": c.correctness.enabled, "dead_code": c.dead_code.enabled, "leftovers": c.leftovers.enabled, "refactor_readiness": c.refactor_readiness.enabled, "dependencies": c.dependencies.enabled}
+def detected(tool: str, languages, lockfiles, hints, test_commands) -> bool:
+    """Whether a tool fits the project, whatever the configuration says."""
     has = set(languages)
+    detect = tools.ADDED[tool].detect if tool in tools.ADDED else None
+    if detect:
+        return bool(detect(languages, lockfiles, hints, test_commands))
+    if tool == "osv-scanner":
+        return bool(lockfiles)
+    if tool in ANY_LANGUAGE:
+        return bool(has)
+    if tool in ("vitest", "jest"):
+        return tool in hints or any(tool in t.lower() for t in test_commands)
+    return tool not in NEEDS or bool(NEEDS[tool] & has)
 
-    def fits(tool: str) -> bool:
-        if tool == "osv-scanner":
-            return bool(lockfiles)
-        if tool in ANY_LANGUAGE:
-            return bool(has)
-        if tool in ("vitest", "jest"):
-            return tool in hints or any(tool in t.lower() for t in test_commands)
-        return tool not in NEEDS or bool(NEEDS[tool] & has)
 
-    return [t for t, cat in CATEGORY_OF.items() if enabled.get(cat, True) and (mode != "quick" or t in QUICK) and fits(t)]
+def plan_sources(languages, lockfiles, hints, test_commands, config: Config, mode: str = "default") -> list[str]:
+    """Ids of sources to run, in order: those of enabled checks that fit the project, registered ones
+    last; quick mode has a list of its own. Sources not planned are never read."""
+    c = config.checks
+    enabled = {"security": c.security.enabled, "correctness": c.correctness.enabled, "dead_code": c.dead_code.enabled, "leftovers": c.leftovers.enabled, "refactor_readiness": c.refactor_readiness.enabled, "dependencies": c.dependencies.enabled}
+    every = CATEGORY_OF | {t: a.category for t, a in tools.ADDED.items()}
+    return [t for t, cat in every.items() if enabled.get(cat, True) and (mode != "quick" or t in QUICK) and detected(t, languages, lockfiles, hints, test_commands)]
 
 
 @dataclass
@@ -254,10 +259,14 @@ def explain(scan: ScanResult, finding_id: str) -> dict:
     return {"finding": f, "suggestions": list(dict.fromkeys(s.strip() for s in said if s and s.strip())), "related": fx.related(scan.findings, finding_id)}
 
 
-def fix_commands(planned: list[str]) -> list[tuple[str, str]]:
-    """Safe fixes of planned tools, in order."""
-    known = {"biome": "biome check . --write", "ruff": "ruff check . --fix && ruff format ."}
-    return [(t, known[t]) for t in planned if t in known]
+#: What fixes that which is safe to fix.
+FIXES = {"biome": "biome check . --write", "ruff": "ruff check . --fix && ruff format ."}
+
+
+def fix_commands(languages, lockfiles, hints, test_commands) -> list[tuple[str, str]]:
+    """Safe fixes of the tools that fit the project, in order, whichever checks are on."""
+    known = FIXES | {t: a.fix for t, a in tools.ADDED.items() if a.fix}
+    return [(t, line) for t, line in known.items() if detected(t, languages, lockfiles, hints, test_commands)]
 
 
 def fixed_counts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -252,11 +252,36 @@ Parser = Callable[[DataFrame, ToolRules], DataFrame]
 PARSERS: dict[str, Parser] = {"gitleaks": gitleaks, "osv-scanner": osv_scanner, "semgrep": semgrep, "tsc": tsc, "pyright": pyright, "biome": biome, "ruff": ruff, "deptry": deptry, "knip": knip, "vulture": vulture, "jscpd": jscpd, "lizard": lizard, "radon": radon, "coverage.py": coverage_py, "vitest": vitest, "jest": jest}
 
 
-def register(tool: str, schema: str, parser: Parser) -> None:
+@dataclass(frozen=True)
+class Added:
+    """What the engine knows of a registered tool beside its parser. detect gets the project's
+    languages, lock files, framework hints and test commands; None: it fits any project. command:
+    how to run it, a runner.Command; fix: a shell command that fixes what is safe to fix."""
+
+    category: str = "correctness"
+    detect: Callable[[list, list, list, list], bool] | None = None
+    command: object | None = None
+    fix: str | None = None
+
+
+ADDED: dict[str, Added] = {}
+
+
+def register(tool: str, schema: str, parser: Parser, category: str = "correctness", detect=None, command=None, fix: str | None = None) -> None:
     """Add a tool, or replace one: the schema of its JSON payload and a parser of raw outputs to
-    findings (see rows() and shown()). New tools come last in the report."""
+    findings (see rows() and shown()). New tools come last in the report. A scan plans the
+    tool where checks of its category are on and detect holds, runs its command and
+    keeps what it finds; fixes run where detect holds."""
     PAYLOADS[tool] = schema
     PARSERS[tool] = parser
+    ADDED[tool] = Added(category, detect, command, fix)
+
+
+def unregister(tool: str) -> None:
+    """Forget a tool that register() has added."""
+    if ADDED.pop(tool, None):
+        PARSERS.pop(tool)
+        PAYLOADS.pop(tool)
 
 
 #: Room for a tool's own places in ord.

@@ -47,7 +47,30 @@ def test_a_tool_can_be_registered(spark):
         raw = spark.createDataFrame([("own-tool", '[{"name":"b"},{"name":"a"}]', "", 0, 1, "ok", None)], tools.RAW)
         assert [r["id"] for r in tools.parsed(raw).orderBy("ord").collect()] == ["b", "a"]
     finally:
-        del tools.PARSERS["own-tool"], tools.PAYLOADS["own-tool"]
+        tools.unregister("own-tool")
+    assert "own-tool" not in tools.PARSERS and "own-tool" not in tools.PAYLOADS
+
+
+def test_a_registered_tool_is_planned_run_and_fixed(spark, tmp_path):
+    from codeweir.plans.scan import fix_commands, plan_sources
+    from codeweir.sources import runner
+    from codeweir.sources.config import Config
+
+    def parse(raw, rules):
+        from pyspark.sql import functions as F
+
+        return tools.shown(tools.rows(raw, "own-tool"), "own-tool", id=F.col("x.name"), category="tests", severity="low", confidence="low", title="Own", message=F.col("x.name"), tags=["own"])
+
+    command = runner.Command(("sh", "-c", "printf '[{\"name\":\"a\"}]'"), 20, "It comes with the system.")
+    tools.register("own-tool", "array<struct<name string>>", parse, "tests", lambda languages, *_: "go" in languages, command, "own-tool --fix")
+    try:
+        go, other = (["go"], [], [], []), (["python"], [], [], [])
+        assert plan_sources(*go, Config())[-1] == "own-tool" and "own-tool" not in plan_sources(*other, Config())
+        assert ("own-tool", "own-tool --fix") in fix_commands(*go) and [t for t, _ in fix_commands(*other)] == ["ruff"]
+        raw = runner.run_tools(spark, str(tmp_path), ["own-tool", "custom-leftovers"])
+        assert [r["id"] for r in tools.parsed(raw, tools=["own-tool"]).collect()] == ["a"]
+    finally:
+        tools.unregister("own-tool")
 
 
 def test_all_exports_are_there():

@@ -134,3 +134,18 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     q = events_by_window(stream).writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["category"], r["n"]) for r in spark.table("windowed").collect()) == [("security", 1), ("tests", 2)]
+
+
+def test_files_of_pruned_folders_are_not_read(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / "node_modules" / f"p{i}").mkdir(parents=True)
+        (tmp_path / "node_modules" / f"p{i}" / "x.js").write_text("x" * 100)
+    (tmp_path / "a.ts").write_text("hello")
+    files = read_files(spark, str(tmp_path))
+    files._jdf.queryExecution().toRdd().count()
+
+    def scanned(node):
+        own = [node.metrics().get("numFiles").get().value()] if "Scan" in node.nodeName() else []
+        return sum(own) + sum(scanned(node.children().apply(i)) for i in range(node.children().size()))
+
+    assert scanned(files._jdf.queryExecution().executedPlan()) == 1

@@ -210,7 +210,7 @@ def test_tool_of_lines_is_registered_and_parsed(spark):
         got = [(r["id"], r["severity"], r["message"], r["start_line"], r["agent_instruction"]) for r in tools.parsed(raw, tools=["linesmith"]).orderBy("ord").collect()]
         assert got == [("linesmith:a.c:3:error", "high", "it's \\ bad", 3, "Look."), ("linesmith:b.c:9:warning", "low", "w", 9, "Look.")]
     finally:
-        tools.PARSERS.pop("linesmith", None), tools.PAYLOADS.pop("linesmith", None)
+        tools.unregister("linesmith")
 
 
 def test_changed_graph_equals_one_from_nothing(spark):
