@@ -585,7 +585,8 @@ def test_later_models_see_earlier_probabilities():
 # --- 10 ----------------------------------------------------------------------------
 
 
-def test_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_scores_equal_brute_force(spark, least):
     rows = [(i, t) for i, t in enumerate(random_texts(10, 80, 30, 40))] + [(100, None), (101, ""), (102, "Once ONCE once"), (103, "once"), (103, "once"), (None, "w1 w2")]
     one, two = Counter(), Counter()
     for _, t in rows:
@@ -597,14 +598,14 @@ def test_scores_equal_brute_force(spark):
     def score(t):
         w, total, back = words_of(t), 0.0, 0
         for i, x in enumerate(w):
-            if i and two[w[i - 1], x] >= 2:
+            if i and two[w[i - 1], x] >= least:
                 total += math.log(two[w[i - 1], x] / one[w[i - 1]])
             else:
                 total += math.log(one[x] / n) + (math.log(0.4) if i else 0)
                 back += i > 0
         return len(w), back, round(total, 6)
 
-    got = sorted(repr((r["doc_id"], r["n_words"], r["n_backoff"], round(r["log_score"], 6))) for r in lm_scoring.backoff_scores(docs(spark, rows), chunk_bytes=500, part_bytes=700).collect())
+    got = sorted(repr((r["doc_id"], r["n_words"], r["n_backoff"], round(r["log_score"], 6))) for r in lm_scoring.backoff_scores(docs(spark, rows), least=least, chunk_bytes=500, part_bytes=700).collect())
     assert got == sorted(repr((i, *score(t))) for i, t in rows)
     assert lm_scoring.backoff_scores(docs(spark, rows).where("false")).count() == 0
 
@@ -628,7 +629,7 @@ def test_scores_of_other_orders_equal_brute_force(spark, order):
         back = sum(order > 1 and seen[w[i - 1], w[i]] < 2 for i in range(1, len(w)))
         return len(w), back, round(sum(log_of(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))) + 0.0, 6)
 
-    got = lm_scoring.backoff_scores(docs(spark, rows), order=order, chunk_bytes=500, part_bytes=700).collect()
+    got = lm_scoring.backoff_scores(docs(spark, rows), least=2, order=order, chunk_bytes=500, part_bytes=700).collect()
     assert sorted(repr((r["doc_id"], r["n_words"], r["n_backoff"], round(r["log_score"], 6))) for r in got) == sorted(repr((i, *score(t))) for i, t in rows)
 
 
