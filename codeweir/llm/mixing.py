@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeweir.llm.common import SPACE, checked_broadcast, table, written
+from codeweir.llm.common import SPACE, bounded_batches, checked_broadcast, table, written
+from codeweir.llm.tokens import default_vocabulary, encoder
 
 LEVELS = ("domain", "lang", "source")
 MISSING = "(none)"
@@ -156,7 +158,28 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), text_col: str = "text") -> DataFram
     return here.join(checked_broadcast(last, 200_000), same).where(inside).select("__whole.*")
 
 
+def sized(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
+    """doc_id, lang, source and n_tokens (byte-level BPE ids of the whole text; null: empty, none)."""
+    path = vocabulary or default_vocabulary()
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        enc = encoder(path)
+        for b in batches:
+            n = [len(enc.encode(t)) // 2 if t else 0 for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(n, pa.int64())], names=["doc_id", "lang", "source", "n_tokens"])
+
+    rows = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), F.col(text_col).alias("__text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, source string, n_tokens long")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets and prefixes in tokens."""
+    return select_mix(sized(table(spark, sf_dir, "documents")), Mix(epochs=2, share=0.6), F.col("n_tokens"))
+
+
+def mix_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mix in words, which SQL can count too."""
     return select_mix(table(spark, sf_dir, "documents"), Mix(epochs=2, share=0.6), words())
 
 
@@ -169,12 +192,14 @@ def _poured_sql(name: str, nodes: str, parents: str, budget: str, level: str) ->
 {name} AS (SELECT *, least(cap, w * max(water) OVER ({whole})) AS {level}_budget FROM {name}_water)"""
 
 
-SQL = rf"""
+def mix_sql(measure: str) -> str:
+    """The mix of op5_mixing, with the tokens of a row of documents as given."""
+    return rf"""
 WITH rows_in AS (
   SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
          CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src1[0-4]$') THEN 'books'
               WHEN regexp_matches(source, '^src1[5-9]$') THEN 'code' ELSE 'other' END AS domain,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
+         {measure} AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows_in GROUP BY ALL),
 lang_nodes AS (SELECT domain, lang, CAST(sum(tokens * 2) AS DOUBLE) AS cap, CASE lang WHEN 'en' THEN 4.0::DOUBLE WHEN 'fr' THEN 2.0 WHEN 'de' THEN 2.0 WHEN 'es' THEN 2.0 ELSE 1.0 END AS w FROM leaves GROUP BY ALL),
 domain_nodes AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'web' THEN 5.0::DOUBLE WHEN 'books' THEN 3.0 WHEN 'code' THEN 2.0 ELSE 1.0 END AS w,
@@ -194,4 +219,8 @@ SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, tokens, st
 FROM started WHERE start < remaining
 """
 
-__all__ = ["Mix", "mixed", "op5_mixing", "select_mix", "split_budgets", "words", "SPACE"]
+
+#: Of mix_by_words.
+SQL = mix_sql(r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)")
+
+__all__ = ["Mix", "mixed", "mix_by_words", "mix_sql", "op5_mixing", "select_mix", "sized", "split_budgets", "words", "SPACE"]

@@ -20,6 +20,7 @@ def queries() -> dict:
         "op11_search": lexical.op11_search,
         "op12_minmax": minmax.op12_minmax,
         "op13_clusters": centroids.op13_clusters,
+        "mix_by_words": mixing.mix_by_words,
     }
 
 
@@ -28,7 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_join": ngram_join.SQL,
         "op2_secret_scan": span_sql.secret_sql(),
         "op3_chat_format": span_sql.chat_sql(),
-        "op5_mixing": mixing.SQL,
+        "mix_by_words": mixing.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
         "op8_neighbours": neighbours.SQL,
         "op10_lm_scores": lm_scoring.SQL,
