@@ -5,12 +5,13 @@ import os
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from codeweir.llm import packing, queries, token_counts, toxicity
+from codeweir.llm import mixing, packing, queries, token_counts, toxicity
 from codeweir.llm.common import table, text_buffers
 from tests.llm.test_operators import hf
 
@@ -32,6 +33,31 @@ def test_op4_counts_every_token(spark, rows):
     assert got == {k: (c["documents"], c["tokens"], c["chars"]) for k, c in want.items()}
 
 
+def test_op5_is_the_mix_of_tokens(spark, rows):
+    """Against SQL over the lengths that another library's encoder gives."""
+    con, t = duckdb.connect(), hf()
+    ids = list(rows)
+    col = lambda c, kind: pa.array([rows[i][c] for i in ids], kind)
+    sizes = pa.array([len(t.encode(rows[i]["text"] or "", add_special_tokens=False).ids) for i in ids], pa.int64())
+    con.register("documents", pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": col("lang", pa.string()), "source": col("source", pa.string()), "n_tokens": sizes}))
+    found = con.execute(mixing.mix_sql("n_tokens"))
+    names = [d[0] for d in found.description]
+    got = mixing.op5_mixing(spark, SF)
+    assert sorted(names) == sorted(got.columns)
+    want = sorted(repr([r[names.index(c)] for c in got.columns]) for r in found.fetchall())
+    assert want and sorted(repr(list(r)) for r in got.collect()) == want
+
+
+def test_words_are_split_at_all_white_space_in_sql(spark):
+    con = duckdb.connect()
+    texts = ["one\rtwo\x0bthree\x0cfour", " a\tb\n", "", None, "\u00a0x"]
+    con.register("documents", pa.table({"doc_id": pa.array(range(5), pa.int64()), "lang": ["en"] * 5, "source": ["src1"] * 5, "text": pa.array(texts, pa.string())}))
+    want = sorted(con.execute(mixing.SQL.replace("* 0.6::DOUBLE", "* 1.0::DOUBLE")).fetchall(), key=repr)
+    df = spark.createDataFrame([(i, "en", "src1", t) for i, t in enumerate(texts)], "doc_id long, lang string, source string, text string")
+    got = mixing.select_mix(df, mixing.Mix(epochs=2, share=1.0), mixing.words())
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want and {r[0]: r[5] for r in want} == {0: 4, 1: 2, 2: 0, 3: 0, 4: 1}
+
+
 def test_op6_is_full_and_follows_the_curve(spark, rows, monkeypatch):
     monkeypatch.setattr(packing, "RANGE_BYTES", 100_000)
     got, t = [r.asDict() for r in packing.op6_packing(spark, SF).collect()], hf()
@@ -100,5 +126,5 @@ def test_features_are_those_of_the_words(rows):
 
 
 def test_every_query_without_sql_is_tested_here():
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"op4_token_counts", "op6_packing", "op9_toxicity"}
+    assert set(queries.queries()) - set(queries.oracle_sql()) == {"op4_token_counts", "op5_mixing", "op6_packing", "op9_toxicity"}
     assert np.isfinite(toxicity.THRESHOLD)
