@@ -7,11 +7,12 @@ values of two neighbouring permutations, in a circle, so every permutation is in
 Sets meet where a band agrees; the number of permutations is what keeps the probability that a
 linked pair shares none below a given one (1e-9).
 
-1. In each band's bucket the members of other components are tried against one hub, as
-   long as that joins many. This costs a large family its spanning links, not its pairs.
-2. Where a bucket still holds several components, members are compared by signature, in
-   blocks of bounded size, each pair in the first band that it shares. Of any two
-   components a few pairs are confirmed first, then all that are still apart.
+1. In each band's bucket the members of other components are tried against one hub, first
+   in a few bands, then in all as long as that joins many. This costs a large family its spanning links, not its pairs.
+2. Where a bucket still holds several components, its members meet in blocks of bounded size:
+   pairs are compared by signature, each in the first band that it shares, and those
+   that may link are confirmed there, if their components are still apart. A block gives
+   the links that join components, not its pairs.
 
 Only pairs confirmed on the sets of whole texts are links.
 """
@@ -26,17 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweir.llm.common import bounded_batches, checked_broadcast, mix, removed, table, written
-from codeweir.llm.ngram_join import MAX_BROADCAST, completed, contracted, sets_of, verified
+from codeweir.llm.bloom import Bloom
+from codeweir.llm.common import MAX_WORDS, bounded_batches, checked_broadcast, mix, removed, table, written
+from codeweir.llm.ngram_join import MAX_BROADCAST, completed, contracted, linked, sets_of, verified
 
-#: Members of a chunk; a block joins two chunks of a bucket.
-CHUNK = 1024
-#: Entries that are put into one group of blocks, on average.
-GROUP_ENTRIES = 10_000
+#: Shingles of a chunk's members, on average; a block joins two chunks of a bucket.
+CHUNK = 300_000
+#: Shingles that are put into one group of blocks, on average.
+GROUP = 500_000
 #: Pairs whose signatures are compared at a time.
 COMPARED = 1 << 16
+#: Bands that the first rounds ask for hubs; later ones ask all.
+FIRST_BANDS = (2, 8)
 #: Rounds of hubs at most; what they don't join is left to the second step.
-ROUNDS = 8
+ROUNDS = 10
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -134,9 +138,10 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int, hashes: int) -> Da
 
 
 def unsettled(entries: DataFrame, comps: DataFrame) -> DataFrame:
-    """Entries (band, cid) with their component, and m (members of the bucket), where a bucket holds several components."""
+    """Entries (nth, band, cid, n) with their component, and m (shingles of the bucket's members),
+    where a bucket holds several components."""
     rows = entries.join(checked_broadcast(comps.withColumnRenamed("cid", "c_cid"), MAX_BROADCAST), F.col("cid") == F.col("c_cid")).drop("c_cid")
-    counted = rows.groupBy(F.col("band").alias("g_band")).agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g_band", "m")
+    counted = rows.groupBy(F.col("band").alias("g_band")).agg(F.sum("n").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g_band", "m")
     counted = written(counted, "minmax-buckets")
     out = written(rows.join(checked_broadcast(counted, MAX_BROADCAST), F.col("band") == F.col("g_band")).drop("g_band"), "minmax-unsettled")
     removed(entries.sparkSession, [counted])
@@ -144,14 +149,19 @@ def unsettled(entries: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def hub_pairs(entries: DataFrame, nth: int) -> DataFrame:
-    """a, b, lo, hi: of each bucket a hub, and a member of each other component; another
-    choice for every nth."""
+    """a, b, lo, hi: members of components (b) with hubs (a) of other components. Each bucket has a
+    hub, another one for every nth; of the hubs of a member's buckets two are tried, that
+    of most buckets and one by chance."""
     order = F.xxhash64("cid", F.lit(nth))
     reps = entries.groupBy("band", "comp").agg(F.min_by("cid", order).alias("cid"))
     reps = written(reps, "minmax-heads")
     hubs = reps.groupBy(F.col("band").alias("h_band")).agg(F.min_by(F.struct("cid", "comp"), order).alias("hub"))
     rows = reps.join(hubs, F.col("band") == F.col("h_band")).where("comp <> hub.comp")
-    return rows.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"), F.col("hub.comp").alias("lo"), F.col("comp").alias("hi")).distinct()
+    rows = rows.groupBy("cid", "comp", "hub").agg(F.count(F.lit(1)).alias("times"))
+    chance = F.xxhash64("hub.cid", F.lit(nth))
+    tried = F.array_distinct(F.array(F.max_by("hub", F.struct("times", chance)), F.max_by("hub", chance)))
+    rows = rows.groupBy("cid", "comp").agg(tried.alias("hubs")).select("cid", "comp", F.explode("hubs").alias("hub"))
+    return rows.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"), F.col("hub.comp").alias("lo"), F.col("comp").alias("hi"))
 
 
 def meeting(bands: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sigs: np.ndarray, all_bands: np.ndarray, sides: np.ndarray, percent: int) -> np.ndarray:
@@ -187,27 +197,51 @@ def bands_of(sorted_bands: np.ndarray, by: np.ndarray, i: np.ndarray) -> np.ndar
     return sorted_bands[back[i]]
 
 
-def all_pairs(entries: DataFrame, classes: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """a, b, lo, hi: every pair of an unsettled bucket's members of different components that may
-    link, each once."""
-    groups = max(1, -(-entries.count() // GROUP_ENTRIES))
+def bucket_links(docs: DataFrame, entries: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int, hashes: int) -> DataFrame:
+    """a, b: components that confirmed links join, of members of unsettled buckets. Every two members
+    of different components that may link are confirmed on their sets, in the first bucket
+    that they share, unless links of the same block have joined their components by then."""
+    groups = max(1, -(-(entries.agg(F.sum("n")).first()[0] or 0) // GROUP))
     rows = entries.withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") == o, 2).when(F.col("own") < o, 0).otherwise(1).alias("side")))
-    rows = rows.select("band", "cid", "comp", "chunks", F.explode(pair).alias("p"))
     # A bucket of one chunk shares its group with others; a block of a larger one is a group.
+    rows = rows.select("band", "cid", "comp", "chunks", F.explode(pair).alias("p"))
     grp = F.when(F.col("chunks") == 1, F.pmod("band", F.lit(groups))).otherwise(-1 - F.pmod(F.xxhash64("band", "p.i", "p.j"), F.lit(1 << 40)))
-    rows = rows.select(grp.alias("grp"), "band", "cid", "comp", F.col("p.side").alias("side"))
-    about = classes.select(F.col("cid").alias("k_cid"), "n", "sig", "bands")
-    rows = rows.join(about, F.col("cid") == F.col("k_cid")).drop("k_cid")
+    # What a member needs besides its text is brought once a class; the text goes with each of its buckets.
+    need = rows.select("cid", "comp", F.struct(grp.alias("grp"), "band", F.col("p.side").alias("side")).alias("at")).groupBy("cid", "comp").agg(F.collect_list("at").alias("places"))
+    need = written(need.join(classes.select(F.col("cid").alias("k_cid"), "digest", "n", "sig", "bands"), F.col("cid") == F.col("k_cid")).drop("k_cid"), "minmax-need")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bloom = Bloom(need, "cid")
+    met = bloom.filtered(texts, F.col("id")).join(checked_broadcast(need, MAX_BROADCAST), F.col("id") == F.col("cid"))
+    met = met.select("cid", "comp", "digest", "n", "sig", "bands", "text", F.explode("places").alias("at")).select("at.*", "cid", "comp", "digest", "n", "sig", "bands", "text")
 
     def run(t: pa.Table) -> pa.Table:
-        flat = t["bands"].combine_chunks().flatten().to_numpy() if t["bands"].num_chunks > 1 else t["bands"].chunk(0).flatten().to_numpy()
+        flat = pa.concat_arrays(t["bands"].chunks).flatten().to_numpy()
         ids, comp = t["cid"].to_numpy(), t["comp"].to_numpy()
+        sets, digests = {}, t["digest"].to_pylist()
+        for _, s, offs in sets_of(t["text"], k):
+            for x, z in zip(offs[:-1], offs[1:]):
+                sets[hashlib.blake2b(s[x:z].tobytes(), digest_size=16).digest()] = s[x:z]
         i, j = meeting(t["band"].to_numpy(), ids, comp, t["n"].to_numpy(), _matrix(t["sig"], 2 * hashes), flat.reshape(-1, hashes), t["side"].to_numpy(), percent)
-        a, b, x, y = ids[i], ids[j], comp[i], comp[j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "lo": np.minimum(x, y), "hi": np.maximum(x, y)})
-
-    return rows.groupBy("grp").applyInArrow(run, "a long, b long, lo long, hi long").distinct()
+        root, out = {}, []
+
+        def find(x):
+            while x in root:
+                x = root[x]
+            return x
+
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            # A row of an id with several texts may be beside a set that isn't its own.
+            if p != q and digests[x] in sets and digests[y] in sets and linked(sets[digests[x]], sets[digests[y]], percent):
+                root[max(p, q)] = min(p, q)
+                out.append((min(p, q), max(p, q)))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    out = written(met.groupBy("grp").applyInArrow(run, "a long, b long"), "minmax-links")
+    bloom.close()
+    removed(docs.sparkSession, [need])
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-9) -> DataFrame:
@@ -224,6 +258,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not 70 <= percent <= 100:
         raise ValueError("percent must lie between 70 and 100")
+    if not 1 <= words <= MAX_WORDS:
+        raise ValueError(f"words must lie between 1 and {MAX_WORDS}")
     spark = docs.sparkSession
     bounded_batches(spark)
     hashes = permutations(percent, miss)
@@ -231,31 +267,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = known.where("id is not null and n > 0")
     classes = written(some.groupBy("digest").agg(F.min("id").alias("cid"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "minmax-classes")
     comps = written(classes.select("cid", F.col("cid").alias("comp")).distinct(), "minmax-state")
-    entries = classes.select("cid", F.explode("bands").alias("band")).distinct()
-    entries = unsettled(entries, comps).select("band", "cid")
+    entries = classes.select("cid", "n", F.posexplode("bands").alias("nth", "band"))
+    entries = unsettled(entries, comps).select("nth", "band", "cid", "n")
     for nth in range(ROUNDS):
-        rows = unsettled(entries, comps)
+        # A few bands first: they join most of a large family, before all ask for its hubs.
+        few = FIRST_BANDS[nth] if nth < len(FIRST_BANDS) else hashes
+        rows = unsettled(entries.where(F.col("nth") < few), comps)
         pairs = written(alike(hub_pairs(rows, nth), classes, percent, hashes), "minmax-pairs")
         tried = pairs.count()
         links = verified(docs, pairs, id_col, text_col, words, percent)
         found = links.count()
         comps = contracted(comps, links, "minmax-state")
         removed(spark, [rows, pairs, links])
-        if 16 * found <= tried:
+        if few >= hashes and 16 * found <= tried:
             break
     rows = unsettled(entries, comps)
-    pairs = written(all_pairs(rows, classes, percent, hashes), "minmax-pairs")
-    one, order = F.struct("a", "b"), F.xxhash64("a", "b")
-    few = F.array_distinct(F.array(F.min_by(one, order), F.max_by(one, order), F.min(one), F.max(one)))
-    tried = written(pairs.groupBy("lo", "hi").agg(few.alias("few")).select("lo", "hi", F.explode("few").alias("p")).select("lo", "hi", "p.*"), "minmax-tried")
-    links = verified(docs, tried, id_col, text_col, words, percent)
-    comps = contracted(comps, links, "minmax-state")
-    side = lambda c: checked_broadcast(comps, MAX_BROADCAST).select(F.col("cid").alias(f"{c}_cid"), F.col("comp").alias(f"{c}_comp"))
-    rest = pairs.select("a", "b").join(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
-    rest = rest.join(side("a"), F.col("a") == F.col("a_cid")).join(side("b"), F.col("b") == F.col("b_cid")).where("a_comp <> b_comp")
-    more = verified(docs, rest.select("a", "b", F.col("a_comp").alias("lo"), F.col("b_comp").alias("hi")), id_col, text_col, words, percent)
-    removed(spark, [rows, pairs, tried, links, entries])
-    out = completed(known, some, classes.select("digest", "cid"), comps, more, id_col)
+    links = bucket_links(docs, rows, classes, id_col, text_col, words, percent, hashes)
+    removed(spark, [rows, entries])
+    out = completed(known, some, classes.select("digest", "cid"), comps, links, id_col)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
