@@ -85,8 +85,8 @@ def test_radix_order_is_a_stable_sort(keys):
 
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
 def test_min_max_equals_brute_force(spark, monkeypatch, k, percent):
-    monkeypatch.setattr(minmax, "CHUNK", 4)
-    monkeypatch.setattr(minmax, "GROUP_ENTRIES", 50)
+    monkeypatch.setattr(minmax, "CHUNK", 300)
+    monkeypatch.setattr(minmax, "GROUP", 2000)
     rows = near_copies(k + 40) + [(2000 + i, t) for i, t in enumerate(random_texts(3, 40, 6, 8))] + [(3000, None), (3001, ""), (3002, " \t"), (3003, "one two"), (3004, "One\x0bTWO")]
     got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minmax.near_copies(docs(spark, rows), words=k, percent=percent).collect()}
     assert got == {i: (c, c == i) for i, c in brute_links(rows, k, percent).items()}
@@ -95,7 +95,7 @@ def test_min_max_equals_brute_force(spark, monkeypatch, k, percent):
 def test_min_max_second_step_alone_finds_all(spark, monkeypatch):
     """Without hubs, blocks of signatures give every link of a family about the threshold."""
     monkeypatch.setattr(minmax, "ROUNDS", 0)
-    monkeypatch.setattr(minmax, "CHUNK", 10)
+    monkeypatch.setattr(minmax, "CHUNK", 1200)
     rng = random.Random(8)
     base = [f"b{rng.randint(0, 5000)}" for _ in range(120)]
     rows = []
