@@ -22,6 +22,7 @@ the result. Shingles are compared as 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ MAX_BROADCAST = 500_000
 PROBES = 2
 #: Entries that are put into one group of third-step blocks, on average.
 GROUP_ENTRIES = 20_000
+#: Pairs of a group's members that a task counts at a time, about, and members of a chunk where there may be more.
+PAIRS, MET = 1 << 20, 1024
 #: Bits of the bitmaps that go with a shingle's members.
 MEMBER_BITS = 256
 #: Bits that are kept of a prefix shingle beyond those that number all shingles. Fewer only make
@@ -304,32 +307,72 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-(na + nb) * percent // (100 + percent)) - -(-np.maximum(na, nb) * percent // 100) + 1
 
 
-def candidates(tok, ids, comp, sizes, complete, total, raw_bits, percent: int) -> tuple[np.ndarray, ...]:
+class PairCounts:
+    """Numbers of pairs with how often each has come, and how often as a complete one. What has come
+    is counted whenever it is as much as what is known, so that repeats take no room."""
+
+    def __init__(self):
+        self.key, self.shared, self.whole = (np.zeros(0, np.int64) for _ in range(3))
+        self.new: list[tuple] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, complete: np.ndarray) -> None:
+        self.new.append((key, complete))
+        self.size += len(key)
+        if self.size >= max(PAIRS, len(self.key)):
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.size:
+            return
+        key = np.concatenate([self.key, *(k for k, _ in self.new)])
+        shared = np.concatenate([self.shared, np.ones(self.size, np.int64)])
+        whole = np.concatenate([self.whole, *(c for _, c in self.new)]).astype(np.int64)
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        self.key, self.shared, self.whole = key[cut], np.add.reduceat(shared[by], cut), np.add.reduceat(whole[by], cut)
+        self.new, self.size = [], 0
+
+
+def candidates(tok, ids, comp, sizes, complete, total, raw_bits, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(a, b, component of a, of b, size of a, of b, tokens shared, of these complete) of members of
     different components that share a token and may link, by trees over each token's members.
     complete: all members of the token that meet anywhere meet here. total: tokens of a member
-    in all groups. Pairs that can't come to enough are left out."""
+    in all groups. Pairs that can't come to enough are left out. Where there may be many pairs,
+    members are dealt into chunks, and each two chunks' pairs are counted and given by themselves."""
     bits = np.frombuffer(b"".join(raw_bits), np.uint64).reshape(len(tok), -1)
-    _, group = np.unique(tok, return_inverse=True)
-    tree = SignatureTree(bits, sizes, group)
-    found = [np.zeros((2, 0), np.int64)]
-    for i, j in tree.pairs(percent, comp):
-        some = (comp[i] != comp[j]) & (ids[i] != ids[j])
-        found.append(np.stack((i[some], j[some])))
-    i, j = np.concatenate(found, axis=1)
-    swap = ids[i] > ids[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    own, count = np.unique(np.unique(np.stack((ids, group.ravel(), complete)), axis=1)[::2], axis=1, return_counts=True)
+    _, group, times = np.unique(tok, return_inverse=True, return_counts=True)
+    group = group.ravel()
+    by = np.lexsort((sizes, ids))
+    new = np.concatenate(([True], (ids[by][1:] != ids[by][:-1]) | (sizes[by][1:] != sizes[by][:-1])))[: len(by)]
+    first = by[new]  # an entry of each member
+    member = np.empty(len(ids), np.int64)
+    member[by] = np.cumsum(new) - 1
+    own, count = np.unique(np.unique(np.stack((ids, group, complete)), axis=1)[::2], axis=1, return_counts=True)
     own, count = own[0][own[1] > 0], count[own[1] > 0]
     here = np.zeros(len(ids), np.int64)
     if len(own):
         place = np.minimum(np.searchsorted(own, ids), len(own) - 1)
         here = np.where(own[place] == ids, count[place], 0)
     elsewhere = total - here
-    pair, first, at, shared = np.unique(np.stack((ids[i], ids[j], comp[i], comp[j], sizes[i], sizes[j])), axis=1, return_index=True, return_inverse=True, return_counts=True)
-    whole = np.bincount(at.ravel(), complete[i], len(shared)).astype(np.int64)
-    enough = whole + np.minimum(elsewhere[i[first]], elsewhere[j[first]]) >= needed(pair[4], pair[5], percent)
-    return *pair[:, enough], shared[enough], whole[enough]
+    n = len(first)
+    chunks = 1 if min(int((times * (times - 1) // 2).sum()), n * (n - 1) // 2) <= PAIRS else -(-n // MET)
+    chunk = member * chunks // max(n, 1)
+    for p in range(chunks):
+        for q in range(p, chunks):
+            some = np.flatnonzero((chunk == p) | (chunk == q))
+            counts = PairCounts()
+            for i, j in SignatureTree(bits[some], sizes[some], group[some]).pairs(percent, comp[some]):
+                i, j = some[i], some[j]
+                good = (comp[i] != comp[j]) & (ids[i] != ids[j]) & ((p == q) | (chunk[i] != chunk[j]))
+                i, j = i[good], j[good]
+                counts.add(np.minimum(member[i], member[j]) * n + np.maximum(member[i], member[j]), complete[i])
+            counts.settle()
+            a, b = first[counts.key // max(n, 1)], first[counts.key % max(n, 1)]
+            enough = counts.whole + np.minimum(elsewhere[a], elsewhere[b]) >= needed(sizes[a], sizes[b], percent)
+            a, b = a[enough], b[enough]
+            yield ids[a], ids[b], comp[a], comp[b], sizes[a], sizes[b], counts.shared[enough], counts.whole[enough]
 
 
 def met(kept: DataFrame, about: DataFrame, percent: int) -> DataFrame:
@@ -348,9 +391,10 @@ def met(kept: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     group = F.when(F.col("chunks") == 1, F.pmod("group", F.lit(groups))).otherwise(-1 - F.pmod(F.xxhash64("tok", "p"), F.lit(1 << 40)))
     rows = rows.select(group.alias("grp"), "tok", "cid", "comp", "n", "complete", "total", "bits")
 
-    def pairs(t: pa.Table) -> pa.Table:
-        found = candidates(*(t[c].to_numpy() for c in ("tok", "cid", "comp", "n", "complete", "total")), t["bits"].to_pylist(), percent)
-        return pa.table(dict(zip(("a", "b", "ca", "cb", "na", "nb", "shared", "whole"), map(pa.array, found))))
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        for found in candidates(*(t[c].to_numpy() for c in ("tok", "cid", "comp", "n", "complete", "total")), t["bits"].to_pylist(), percent):
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["a", "b", "ca", "cb", "na", "nb", "shared", "whole"])
 
     pair = rows.groupBy("grp").applyInArrow(pairs, "a long, b long, ca long, cb long, na long, nb long, shared long, whole long")
     return pair.groupBy("a", "b", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"), "na", "nb").agg(F.sum("shared").alias("shared"), F.sum("whole").alias("whole"))

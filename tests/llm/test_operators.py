@@ -149,6 +149,35 @@ def test_join_links_the_pair_that_was_lost(spark):
     assert {r["component_id"] for r in ngram_join.near_duplicates(docs(spark, rows), words=4, percent=85).collect()} == {1}
 
 
+def test_pairs_of_a_large_group_come_in_bounded_pieces(monkeypatch):
+    """All members of one group share tokens: their pairs are counted and given by chunks of members,
+    each once, with what they share in the whole group."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 60, 900)
+    tok, comp = rng.integers(0, 12, 900), ids // 2
+    complete, total = tok % 3 > 0, np.full(900, 99)
+    bits = [np.full(4, 2**64 - 1, np.uint64).tobytes()] * 900
+    want = {}
+    for t in range(12):
+        here = np.flatnonzero(tok == t)
+        for x in range(len(here)):
+            for y in here[x + 1 :]:
+                a, b = sorted((int(ids[here[x]]), int(ids[y])))
+                if comp[here[x]] != comp[y]:
+                    shared, whole = want.get((a, b), (0, 0))
+                    want[a, b] = shared + 1, whole + int(complete[y])
+    for pairs, met, most in ((1 << 20, 1024, 10**6), (64, 8, 100)):
+        monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+        monkeypatch.setattr(ngram_join, "MET", met)
+        got = {}
+        for piece in ngram_join.candidates(tok, ids, comp, np.full(900, 300), complete, total, bits, 80):
+            assert len(piece[0]) <= most
+            found = {(a, b): (s, w) for a, b, _, _, _, _, s, w in zip(*(x.tolist() for x in piece))}
+            assert not found.keys() & got.keys()
+            got |= found
+        assert got == want
+
+
 def test_join_of_nulls_repeats_and_nothing(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v"), (9, "q r s t u v"), (7, "a b c d e f")]
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, rows)).collect() if r["doc_id"])
