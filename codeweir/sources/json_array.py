@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,18 +80,20 @@ _EFFECTS = pa.schema([("i", pa.int64()), ("inside", pa.bool_()), ("change", pa.i
 
 def effects(path: str, start: int, end: int) -> list[dict]:
     """What a range does to either state that it may begin in: the change of depth, whether it ends
-    inside a string, and its commas by relative depth."""
+    inside a string, and its commas by relative depth. A block is looked at at a time."""
     fs, at = opened(path)
+    out = [{"inside": inside, "change": 0, "after": inside, "levels": Counter()} for inside in (False, True)]
     with fs.open_input_file(at) as f:
         escaped = _escaped_at(f, start)
         f.seek(start)
-        data = np.frombuffer(f.read(end - start), np.uint8)
-    out = []
-    for inside in (False, True):
-        _, depths, change, after = structure(data, escaped, inside)
-        levels, count = np.unique(depths, return_counts=True)
-        out.append({"inside": inside, "change": change, "after": after, "levels": levels.tolist(), "count": count.tolist()})
-    return out
+        while start < end and (raw := f.read(min(BLOCK, end - start))):
+            for r in out:
+                _, depths, change, after = structure(np.frombuffer(raw, np.uint8), escaped, r["after"])
+                levels, count = np.unique(depths + r["change"], return_counts=True)
+                r["levels"].update(dict(zip(levels.tolist(), count.tolist())))
+                r["change"], r["after"] = r["change"] + change, after
+            escaped, start = _odd_tail(raw, escaped), start + len(raw)
+    return [r | {"levels": list(r["levels"].keys()), "count": list(r["levels"].values())} for r in out]
 
 
 @dataclass

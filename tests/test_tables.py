@@ -107,6 +107,19 @@ def test_every_element_is_read_once_whatever_the_ranges(tmp_path_factory, values
     assert [i for i, _ in got] == list(range(len(values))) and [json.loads(x) for _, x in got] == values
 
 
+def test_ranges_are_looked_at_in_blocks(tmp_path, monkeypatch):
+    path, values = str(tmp_path / "a.json"), [{"a": ['x"\\', [i]]} for i in range(500)]
+    (tmp_path / "a.json").write_text(json.dumps(values))
+    size, sizes, whole = os.path.getsize(path), [], json_array.structure
+    want = json_array.effects(path, 7, size)
+    monkeypatch.setattr(json_array, "structure", lambda data, *at: sizes.append(len(data)) or whole(data, *at))
+    monkeypatch.setattr(json_array, "BLOCK", 64)
+    got = json_array.effects(path, 7, size)
+    assert max(sizes) == 64
+    said = lambda found: [{**r, "levels": dict(zip(r["levels"], r["count"])), "count": 0} for r in found]
+    assert said(got) == said(want)
+
+
 def test_array_of_broken_text_is_refused(tmp_path):
     (tmp_path / "a.json").write_text('[1, "2')
     with pytest.raises(ValueError, match="no whole JSON array"):
