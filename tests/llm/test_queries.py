@@ -125,6 +125,15 @@ def test_features_are_those_of_the_words(rows):
             assert apart == feature_set(r["text"] or "")
 
 
+def test_op10_backs_off_where_a_pair_is_seen_once(spark, tmp_path):
+    pq.write_table(pa.table({"doc_id": [1, 2, 3], "text": ["a b c", "a b d", None]}), str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.queries()["op10_lm_scores"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert got == sorted(con.execute(queries.oracle_sql()["op10_lm_scores"]).fetchall())
+    assert [r[:3] for r in got] == [(1, 3, 1), (2, 3, 1), (3, 0, 0)]
+
+
 def test_every_query_without_sql_is_tested_here():
     assert set(queries.queries()) - set(queries.oracle_sql()) == {"op4_token_counts", "op5_mixing", "op6_packing", "op9_toxicity"}
     assert np.isfinite(toxicity.THRESHOLD)
