@@ -44,7 +44,9 @@ ROUNDS = 16
 
 def closure(edges: DataFrame, begin: DataFrame, limit=lambda rows: rows) -> DataFrame:
     """path: of begin and of what distinct edges lead to, round by round, all that limit lets through.
-    A round writes its new nodes alone."""
+    Edges are written once, so that no round makes them again from what they come from; a round
+    writes its new nodes alone."""
+    edges = cut(edges)
     new = cut(limit(begin.select("path").distinct()))
     rounds = [new]
     while not new.isEmpty():

@@ -280,3 +280,18 @@ def test_rules_of_projects(spark, monkeypatch):
     assert got == [("", "src/a.ts", []), ("p", "", []), ("p", "lib/c.py", []), ("p", "node_modules/a.ts", [2, 3]), ("p", "src/a.ts", [1, 2]), ("p", "src/a.ts", [1, 2]), ("p", "src/x/b.ts", [1, 2]), ("q", "src/a.ts", []), ("r", "src/a.ts", [])]
     assert sorted((r["project"], r["path"]) for r in path_rules.chosen(df, known).collect()) == [("p", "src/a.ts"), ("p", "src/a.ts"), ("p", "src/x/b.ts")]
     assert path_rules.ruled(df.where("false"), known).count() == 0 and path_rules.ruled(df, known.where("false")).count() == 9
+
+
+def test_closure_makes_its_edges_once(spark):
+    from codeweir.operators import graph
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    edges = spark.range(1, 9).selectExpr("id AS src", "id + 1 AS dst").mapInArrow(count, "src long, dst long")
+    assert graph.closure(edges, spark.createDataFrame([(1,)], "path long")).count() == 9
+    assert made.value == 8
