@@ -113,12 +113,15 @@ class Trie:
 def ruled(paths: DataFrame, rules: DataFrame, name: str = "rules") -> DataFrame:
     """paths (project, path, others) with the numbers of the project's rules (project, rule, glob)
     that each path matches, in order. A null path, and one of a project without rules,
-    matches none; rules without a project or a glob are left out. Each row stays one row."""
+    matches none; rules without a project or a glob are left out. Each row stays one row. Globs
+    that are plain paths meet them by a join; the trie holds the others."""
+    plain = ~F.col("glob").rlike(r"[*?\[{]")
+    exact = rules.where(plain).groupBy(F.col("project").alias("e_project"), F.col("glob").alias("e_path")).agg(F.collect_set(F.col("rule").cast("long")).alias("__exact"))
     sizes = paths.groupBy(F.col("project").alias("s_project")).agg(F.ceil(F.count(F.lit(1)) / PATHS).cast("int").alias("salts"))
     of_project = F.col("project").eqNullSafe(F.col("s_project"))
     dealt = paths.join(sizes, of_project).drop("s_project")
     dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64("path"), F.col("salts")).cast("int")).drop("salts")
-    known = rules.where("project is not null and glob is not null").groupBy(F.col("project").alias("r_project")).agg(F.collect_list(F.struct("rule", "glob")).alias("globs"))
+    known = rules.where("project is not null and glob is not null").where(~plain).groupBy(F.col("project").alias("r_project")).agg(F.collect_list(F.struct("rule", "glob")).alias("globs"))
     given = known.join(sizes, F.col("r_project") == F.col("s_project")).select("r_project", "globs", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("r_salt"))
     columns = paths.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.schema)
@@ -134,7 +137,9 @@ def ruled(paths: DataFrame, rules: DataFrame, name: str = "rules") -> DataFrame:
         return left.select(columns).append_column(name, pa.array(found, pa.list_(pa.int64())))
 
     groups = dealt.groupBy("project", "__salt").cogroup(given.groupBy("r_project", "r_salt"))
-    return groups.applyInArrow(run, f"{kinds}, `{name}` array<long>")
+    found = groups.applyInArrow(run, f"{kinds}, `{name}` array<long>").join(exact, (F.col("project") == F.col("e_project")) & (F.col("path") == F.col("e_path")), "left")
+    every = F.when(F.col("__exact").isNull(), F.col(name)).otherwise(F.sort_array(F.array_union(name, "__exact")))
+    return found.select(*(f"`{c}`" for c in columns), every.alias(name))
 
 
 def chosen(paths: DataFrame, rules: DataFrame) -> DataFrame:

@@ -282,6 +282,23 @@ def test_rules_of_projects(spark, monkeypatch):
     assert path_rules.ruled(df.where("false"), known).count() == 0 and path_rules.ruled(df, known.where("false")).count() == 9
 
 
+def test_url_rules_look_at_each_glob_and_path_once(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    import codeweir.table_queries as module
+    from codeweir import queries
+
+    urls = [f"https://h{i % 2}.org/{'ab'[i % 2]}/x{i % 5}" for i in range(40)] + ["https://h0.org", "none"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    seen, before = [], module.ruled
+    monkeypatch.setattr(module, "ruled", lambda paths, rules: seen.append((paths.count(), rules.count())) or before(paths, rules))
+    got = sorted(tuple(r) for r in module.url_rules_pages(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.SQL["url_rules_pages"]).fetchall())
+    assert seen[0][0] == 12 and seen[0][1] < 35
+
+
 def test_closure_makes_its_edges_once(spark):
     from codeweir.operators import graph
 
