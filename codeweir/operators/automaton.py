@@ -113,7 +113,7 @@ def containing(df: DataFrame, text_col: str, patterns: list[str], name: str = "f
     """df with name: the places (in patterns) of those that the text contains, in order, each once.
     Case counts. Null and empty texts contain none; neither does an empty pattern match."""
     sent = df.sparkSession.sparkContext.broadcast(automata(patterns))
-    schema = df.schema
+    schema, many = df.schema, max(1, len(patterns))
 
     def run(batches):
         for b in batches:
@@ -125,13 +125,12 @@ def containing(df: DataFrame, text_col: str, patterns: list[str], name: str = "f
                 if z <= i:
                     continue
                 data, begin = _texts(text.slice(i, z - i))
-                pairs = [np.zeros((2, 0), np.int64)]
+                pairs = [np.zeros(0, np.int64)]  # a text and a pattern as one number
                 for a in sent.value:
                     ids, place = a.ends(data)
-                    pairs.append(np.unique(np.stack((np.searchsorted(begin, place, "right") - 1, ids)), axis=1))
-                row, ids = np.concatenate(pairs, axis=1)
-                by = np.lexsort((ids, row))
-                got += np.split(ids[by], np.searchsorted(row[by], np.arange(1, z - i)))
+                    pairs.append(np.unique((np.searchsorted(begin, place, "right") - 1) * many + ids))
+                row, ids = np.divmod(np.sort(np.concatenate(pairs)), many)
+                got += np.split(ids, np.searchsorted(row, np.arange(1, z - i)))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *got]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], name])

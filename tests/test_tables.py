@@ -312,3 +312,24 @@ def test_closure_makes_its_edges_once(spark):
     edges = spark.range(1, 9).selectExpr("id AS src", "id + 1 AS dst").mapInArrow(count, "src long, dst long")
     assert graph.closure(edges, spark.createDataFrame([(1,)], "path long")).count() == 9
     assert made.value == 8
+
+
+def test_benchmark_words_make_no_row_for_each_pattern(spark, tmp_path):
+    import duckdb
+
+    from codeweir import table_queries
+
+    spark.createDataFrame([(1, "a bc é bc"), (2, None)], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "xbcé"), (2, None), (3, "zz"), (4, "a é bc")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = table_queries.benchmark_words_in_documents(spark, str(tmp_path))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(con.execute(table_queries_sql("benchmark_words_in_documents")).fetchall())
+
+
+def table_queries_sql(name):
+    from codeweir import queries
+
+    return queries.SQL[name]
