@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from codeweir.llm.bloom import Bloom
 from codeweir.llm.common import MAX_WORDS, bounded_batches, checked_broadcast, mix, removed, table, written
-from codeweir.llm.ngram_join import MAX_BROADCAST, completed, contracted, linked, sets_of, verified
+from codeweir.llm.components import star_round
+from codeweir.llm.ngram_join import MAX_BROADCAST, completed, linked, sets_of, verified
 
 #: Shingles of a chunk's members, on average; a block joins two chunks of a bucket.
 CHUNK = 300_000
@@ -38,7 +39,7 @@ GROUP = 500_000
 #: Pairs whose signatures are compared at a time.
 COMPARED = 1 << 16
 #: Bands that the first rounds ask for hubs; later ones ask all.
-FIRST_BANDS = (2, 8)
+FIRST_BANDS = (4,)
 #: Rounds of hubs at most; what they don't join is left to the second step.
 ROUNDS = 10
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -121,26 +122,17 @@ def _matrix(col, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def alike(pairs: DataFrame, classes: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """Pairs (a, b, ...) whose signatures and sizes may belong to linked sets. If an id has several
-    sets, any two of them may."""
-    least, columns = least_agreeing(percent, 2 * hashes), len(pairs.columns)
-    side = lambda c: classes.select(F.col("cid").alias(f"{c}_cid"), F.col("n").alias(f"{c}_n"), F.col("sig").alias(f"{c}_sig"))
-    both = pairs.join(side("a"), F.col("a") == F.col("a_cid")).join(side("b"), F.col("b") == F.col("b_cid"))
-    both = both.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+def labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries with comp: a node that the links so far connect with the entry's class."""
+    if labels is None:
+        return entries.withColumn("comp", F.col("cid"))
+    return entries.join(checked_broadcast(labels, MAX_BROADCAST), F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "cid")).drop("node", "label")
 
-    def run(batches):
-        for b in batches:
-            same = (_matrix(b.column("a_sig"), 2 * hashes) == _matrix(b.column("b_sig"), 2 * hashes)).sum(1)
-            yield b.select(range(columns)).filter(pa.array(same >= least))
-
-    return both.select(*pairs.columns, "a_sig", "b_sig").mapInArrow(run, pairs.schema)
 
-
-def unsettled(entries: DataFrame, comps: DataFrame) -> DataFrame:
+def unsettled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Entries (nth, band, cid, n) with their component, and m (shingles of the bucket's members),
     where a bucket holds several components."""
-    rows = entries.join(checked_broadcast(comps.withColumnRenamed("cid", "c_cid"), MAX_BROADCAST), F.col("cid") == F.col("c_cid")).drop("c_cid")
+    rows = labelled(entries, labels)
     counted = rows.groupBy(F.col("band").alias("g_band")).agg(F.sum("n").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g_band", "m")
     counted = written(counted, "minmax-buckets")
     out = written(rows.join(checked_broadcast(counted, MAX_BROADCAST), F.col("band") == F.col("g_band")).drop("g_band"), "minmax-unsettled")
@@ -148,20 +140,25 @@ def unsettled(entries: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
-def hub_pairs(entries: DataFrame, nth: int) -> DataFrame:
-    """a, b, lo, hi: members of components (b) with hubs (a) of other components. Each bucket has a
-    hub, another one for every nth; of the hubs of a member's buckets two are tried, that
-    of most buckets and one by chance."""
+def hub_pairs(rows: DataFrame, nth: int, percent: int) -> DataFrame:
+    """a, b, lo, hi: members of components (b) with hubs (a) of other components, of sizes that may
+    link. Each bucket has a hub, another one for every nth; of the hubs of a member's buckets two
+    are tried, that of most buckets and one by chance."""
     order = F.xxhash64("cid", F.lit(nth))
-    reps = entries.groupBy("band", "comp").agg(F.min_by("cid", order).alias("cid"))
-    reps = written(reps, "minmax-heads")
-    hubs = reps.groupBy(F.col("band").alias("h_band")).agg(F.min_by(F.struct("cid", "comp"), order).alias("hub"))
-    rows = reps.join(hubs, F.col("band") == F.col("h_band")).where("comp <> hub.comp")
-    rows = rows.groupBy("cid", "comp", "hub").agg(F.count(F.lit(1)).alias("times"))
+    hubs = rows.groupBy(F.col("band").alias("h_band")).agg(F.min_by(F.struct("cid", "comp", "n"), order).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    hubs = written(hubs.select("h_band", F.col("hub.cid").alias("h_cid"), F.col("hub.comp").alias("h_comp"), F.col("hub.n").alias("h_n")), "minmax-hubs")
+    met = rows.join(checked_broadcast(hubs, MAX_BROADCAST), F.col("band") == F.col("h_band"))
+    reps = met.groupBy("band", "comp", "h_cid", "h_comp", "h_n").agg(F.min_by(F.struct("cid", "n"), order).alias("rep"))
+    reps = reps.where("comp <> h_comp").where(100 * F.least("rep.n", "h_n") >= percent * F.greatest("rep.n", "h_n"))
+    # All of a member's hubs meet in one task, so both groupings need one shuffle.
+    tries = reps.select(F.col("rep.cid").alias("cid"), "comp", F.struct(F.col("h_cid").alias("cid"), F.col("h_comp").alias("comp")).alias("hub")).repartition("cid", "comp")
+    tries = tries.groupBy("cid", "comp", "hub").agg(F.count(F.lit(1)).alias("times"))
     chance = F.xxhash64("hub.cid", F.lit(nth))
     tried = F.array_distinct(F.array(F.max_by("hub", F.struct("times", chance)), F.max_by("hub", chance)))
-    rows = rows.groupBy("cid", "comp").agg(tried.alias("hubs")).select("cid", "comp", F.explode("hubs").alias("hub"))
-    return rows.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"), F.col("hub.comp").alias("lo"), F.col("comp").alias("hi"))
+    tries = tries.groupBy("cid", "comp").agg(tried.alias("hubs")).select("cid", "comp", F.explode("hubs").alias("hub"))
+    out = written(tries.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"), F.col("hub.comp").alias("lo"), F.col("comp").alias("hi")), "minmax-pairs")
+    removed(rows.sparkSession, [hubs])
+    return out
 
 
 def meeting(bands: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sigs: np.ndarray, all_bands: np.ndarray, sides: np.ndarray, percent: int) -> np.ndarray:
@@ -244,6 +241,16 @@ def bucket_links(docs: DataFrame, entries: DataFrame, classes: DataFrame, id_col
     return out
 
 
+def nearer(edges: DataFrame | None, links: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Edges (u above v) that connect what edges and links (a, b) connect, after one round of stars,
+    and each node's label, the smallest node that it has an edge to. A round between hubs needn't bring
+    components to their end: no link is lost, as all edges are kept. Deletes the tables that it is given."""
+    more = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    out = star_round(more if edges is None else edges.union(more))
+    removed(links.sparkSession, [x for x in (edges, links, labels) if x is not None])
+    return out, written(out.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "minmax-labels")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-9) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id (the smallest id that links
     reach, itself included) and kept (whether that is its own).
@@ -266,24 +273,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = written(signatures(docs, id_col, text_col, words, hashes), "minmax-keys")
     some = known.where("id is not null and n > 0")
     classes = written(some.groupBy("digest").agg(F.min("id").alias("cid"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "minmax-classes")
-    comps = written(classes.select("cid", F.col("cid").alias("comp")).distinct(), "minmax-state")
     entries = classes.select("cid", "n", F.posexplode("bands").alias("nth", "band"))
-    entries = unsettled(entries, comps).select("nth", "band", "cid", "n")
+    entries = unsettled(entries, None).select("nth", "band", "cid", "n")
+    edges = labels = None
     for nth in range(ROUNDS):
         # A few bands first: they join most of a large family, before all ask for its hubs.
         few = FIRST_BANDS[nth] if nth < len(FIRST_BANDS) else hashes
-        rows = unsettled(entries.where(F.col("nth") < few), comps)
-        pairs = written(alike(hub_pairs(rows, nth), classes, percent, hashes), "minmax-pairs")
-        tried = pairs.count()
+        rows = written(labelled(entries.where(F.col("nth") < few), labels), "minmax-unsettled")
+        pairs = hub_pairs(rows, nth, percent)
         links = verified(docs, pairs, id_col, text_col, words, percent)
-        found = links.count()
-        comps = contracted(comps, links, "minmax-state")
-        removed(spark, [rows, pairs, links])
+        tried, found = pairs.count(), links.count()
+        removed(spark, [rows, pairs])
+        if found:
+            edges, labels = nearer(edges, links, labels)
         if few >= hashes and 16 * found <= tried:
             break
-    rows = unsettled(entries, comps)
+    rows = unsettled(entries, labels)
     links = bucket_links(docs, rows, classes, id_col, text_col, words, percent, hashes)
     removed(spark, [rows, entries])
+    # What the rounds left of their links goes with those of the blocks: components are whole only now.
+    if edges is not None:
+        removed(spark, [labels])
+        links = links.union(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    comps = written(classes.select("cid", F.col("cid").alias("comp")).distinct(), "minmax-state")
     out = completed(known, some, classes.select("digest", "cid"), comps, links, id_col)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 

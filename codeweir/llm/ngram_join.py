@@ -433,10 +433,11 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: i
     """a, b: the components (lo, hi) of pairs (a, b) whose sets link. Each text meets a run of its
     pairs' other texts. If an id repeats, any of its texts may link."""
     pairs = written(pairs, "join-tries")
-    runs = pairs.groupBy(F.col("a").alias("r_a")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("runs"))
+    runs = written(pairs.groupBy(F.col("a").alias("r_a")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("runs")), "join-runs")
     run_of = F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run")
     dealt = pairs.join(checked_broadcast(runs.where("runs > 1"), MAX_BROADCAST), F.col("a") == F.col("r_a"), "left").withColumn("runs", F.coalesce("runs", F.lit(1))).select("a", "b", "lo", "hi", run_of)
-    heads = dealt.select(F.col("a").alias("end"), "a", "run").distinct().select("end", "a", "run", F.lit(0).alias("nth"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    heads = runs.select(F.col("r_a").alias("end"), F.col("r_a").alias("a"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"))
+    heads = heads.select("end", "a", "run", F.lit(0).alias("nth"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
     side = written(heads.union(dealt.select(F.col("b").alias("end"), "a", "run", F.lit(1).alias("nth"), "lo", "hi")), "join-sides")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bloom = Bloom(side, "end")
@@ -461,7 +462,7 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: i
 
     out = written(rows.repartition("a", "run").sortWithinPartitions("a", "run", "nth", "end").mapInArrow(run, "a long, b long"), "join-more")
     bloom.close()
-    removed(docs.sparkSession, [pairs, side])
+    removed(docs.sparkSession, [pairs, runs, side])
     return out
 
 

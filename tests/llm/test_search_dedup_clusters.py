@@ -13,7 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeweir.llm import centroids, lexical, minmax
+from codeweir.llm import centroids, lexical, minmax, ngram_join
+from codeweir.llm import components as components_of
+from codeweir.llm.components import components
 from tests.llm.test_operators import brute_links, docs, near_copies, random_texts
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -109,6 +111,30 @@ def test_min_max_second_step_alone_finds_all(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minmax.near_copies(docs(spark, rows), words=3, percent=85).collect()} == want
 
 
+def test_min_max_rounds_need_few_shuffles(spark, monkeypatch):
+    """A round of hubs joins components by one round of stars, whose edges are kept, not to their end."""
+    ended, names = [], []
+    whole, kept = ngram_join.components, minmax.written
+    monkeypatch.setattr(ngram_join, "components", lambda links: ended.append(1) or whole(links))
+    monkeypatch.setattr(minmax, "written", lambda df, name: names.append(name) or kept(df, name))
+    rows = near_copies(43)
+    got = {r["doc_id"]: r["component_id"] for r in minmax.near_copies(docs(spark, rows), words=3, percent=85).collect()}
+    assert got == brute_links(rows, 3, 85)
+    assert ended == [1] and names.count("minmax-labels") > 0
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    chain = [(i, i + 1) for i in range(100, 140)]
+    links = chain + [(5, i) for i in range(60, 90)] + [(1, 2), (2, 3), (3, 1), (9, 9), (2, 1)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 141)} | {i: 5 for i in (5, *range(60, 90))} | {1: 1, 2: 1, 3: 1}
+
+
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(components_of, "star_round", None)
+    assert {tuple(r) for r in components(spark.createDataFrame([(3, 1), (1, 2), (7, 6)], "a long, b long")).collect()} == {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)}
+
+
 def test_min_max_of_nulls_repeats_long_texts_and_nothing(spark):
     long = " ".join(f"v{i % 70_000}" for i in range(150_000))
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v"), (9, "q r s t u v"), (7, "a b c d e f"), (20, long), (21, long + " end")]
