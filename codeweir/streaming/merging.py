@@ -12,8 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
@@ -77,14 +76,13 @@ class Merging(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("merged", StructType([StructField("state", StringType())]), self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.held.get()
         state = json.loads(known[0]) if known is not None else None
-        for part in rows:
-            for said in part["said"]:
-                state = merge_into(state, json.loads(said))
+        for row in rows:
+            state = merge_into(state, json.loads(row["said"]))
         self.held.update((json.dumps(state),))
-        yield pd.DataFrame({"said": [json.dumps(merged_row(state))]})
+        yield Row(said=json.dumps(merged_row(state)))
 
     def close(self) -> None:
         pass
@@ -95,7 +93,7 @@ def merged_stream(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
     without rows for so long is forgotten (None: never), and merges anew if it comes again."""
     said = F.to_json(F.struct(*COLUMNS, F.xxhash64(*(c for c in COLUMNS if c != "ord")).alias("tie")), {"ignoreNullFields": "false"})
     rows = with_merge_key(stream).select(*MERGE_KEY, said.alias("said"))
-    return rows.groupBy(*MERGE_KEY).transformWithStateInPandas(Merging(keep_ms), "said string", "Update", "ProcessingTime" if keep_ms else "None")
+    return rows.groupBy(*MERGE_KEY).transformWithState(Merging(keep_ms), "said string", "Update", "ProcessingTime" if keep_ms else "None")
 
 
 def start(stream: DataFrame, out: str, checkpoint: str, keep_ms: int | None = None) -> StreamingQuery:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from codeweir.operators import findings as fx
@@ -163,6 +164,17 @@ def test_state_is_the_same_in_any_order(rng):
     assert state(rows) == state(rows[::-1]) == state(sorted(rows, key=lambda r: r["source"]))
 
 
+def test_a_key_takes_rows_and_gives_one():
+    """Rows, not a data frame for each key, whose making costs more than the merge of its rows."""
+    one = {c: c for c in merging.FROM_FIRST} | {c: None for c in (*merging.FIRST_GIVEN, *merging.ANY)} | {"tie": 0, "severity": "low", "confidence": "high", "source": "a", "tags": ["t"], "score_impact": None}
+    merger, held = merging.Merging(None), []
+    merger.held = type("Held", (), {"get": lambda self: held[-1] if held else None, "update": lambda self, value: held.append(value)})()
+    for ords, first in (([5, 4], 4), ([7, 3], 3)):
+        out = list(merger.handleInputRows((), iter([Row(said=json.dumps(one | {"ord": o})) for o in ords]), None))
+        assert [json.loads(r["said"])["ord"] for r in out] == [first]
+    assert json.loads(held[-1][0])["n"] == 4
+
+
 def finding(spark, ord, message="m", tags=("t",)):
     return fx.completed(spark.createDataFrame([(ord, f"f{ord}", "ruff", "correctness", "low", "high", "T", message, list(tags))], "ord long, id string, source string, category string, severity string, confidence string, title string, message string, tags array<string>"))
 
